@@ -51,18 +51,34 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_formatted(format_conversations(turns))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived_pages
+
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_tiff_media": op5_tiff_media,
+        "op6_decontaminate": op6_decontaminate,
         "op7_source_mix": op7_source_mix,
         "op8_token_binary": op8_token_binary,
+        "op9_warc": op9_warc,
         "op10_chat_format": op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import decontam, mixing, warc
 
     return {
+        "op6_decontaminate": decontam.ORACLE_SQL,
         "op7_source_mix": mixing.ORACLE_SQL,
+        "op9_warc": warc.ORACLE_SQL,
     }

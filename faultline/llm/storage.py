@@ -44,7 +44,7 @@ def open_input(uri: str):
 def open_output(uri: str):
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
 
 
 def attempt_name(folder: str, suffix: str) -> tuple[int, str]:
