@@ -33,6 +33,14 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Kinds of bytes: 0 separates, the others form runs; a new run starts where the kind changes.
+_WORDS = (~_SPACE).astype(np.uint8)
+_LETTERS = np.zeros(256, dtype=np.uint8)
+_LETTERS[0x80:] = _LETTERS[0x30:0x3A] = _LETTERS[0x41:0x5B] = _LETTERS[0x61:0x7B] = 1
+_RUNS = np.where(_SPACE, 0, np.where(_LETTERS == 1, 1, 2)).astype(np.uint8)
+KINDS = {"words": _WORDS, "letters": _LETTERS, "runs": _RUNS}
+
+
 class _Powers:
     """Powers of the multiplier and of its inverse modulo 2**64, grown on demand."""
 
@@ -93,13 +101,14 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a chunk of texts: byte ranges, hashes and the word range of each document."""
 
-    def __init__(self, column: pa.Array, lower: bool = False) -> None:
+    def __init__(self, column: pa.Array, lower: bool = False, kind: str = "words") -> None:
+        """``kind``: words between white space, runs of letters and digits, or those and runs of marks."""
         self.data, self.offsets = joined(column)
-        gap = _SPACE[self.data]
-        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-        if len(gap) and not gap[0]:
-            edge = np.concatenate(([0], edge))
-        self.starts, self.ends = edge[0::2], edge[1::2]
+        kinds = KINDS[kind][self.data]
+        edge = np.flatnonzero(kinds[1:] != kinds[:-1]) + 1
+        edge = np.concatenate(([0], edge, [len(kinds)])) if len(kinds) else np.zeros(1, dtype=np.int64)
+        keep = kinds[edge[:-1]] != 0
+        self.starts, self.ends = edge[:-1][keep], edge[1:][keep]
         self.first = np.searchsorted(self.starts, self.offsets)
         self.lower = lower
 
