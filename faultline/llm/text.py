@@ -119,13 +119,14 @@ class Words:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self, second: bool = False) -> np.ndarray:
-        """One 64-bit hash a word."""
+    def hashes(self, second: bool = False, prefix: int | None = None) -> np.ndarray:
+        """One 64-bit hash a word, or of its first ``prefix`` bytes."""
+        ends = self.ends if prefix is None else np.minimum(self.ends, self.starts + prefix)
         up, down = _Powers.get(len(self.data) + 1)
         table = _BYTE2 if second else _BYTE_LOW if self.lower else _BYTE
         run = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum(table[self.data] * up[: len(self.data)], out=run[1:], dtype=np.uint64)
-        return mix((run[self.ends] - run[self.starts]) * down[self.starts])
+        return mix((run[ends] - run[self.starts]) * down[self.starts])
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

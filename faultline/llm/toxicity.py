@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are lower-cased runs of letters and digits, hashed into ``BUCKETS``. The terms that differ
+Terms are lower-cased runs of letters and digits and their first few bytes, hashed into ``BUCKETS``. The terms that differ
 most between labels become the model's inputs (present or absent in a document). Beside a weight,
 every term has a vector; the products of vectors score pairs of terms, such as an insult with a
 group's name, which weights alone would miss.
@@ -29,21 +29,27 @@ from .text import Words, chunks, string_column
 BUCKETS = 1 << 18
 TERMS = 512
 FACTORS = 8
+#: Besides the whole term, its first bytes are terms too: families of words share a beginning.
+PREFIXES = (4, 5)
 THRESHOLD = 0.7
 
 
 def term_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each term of a chunk, and the document it is in."""
     w = Words(texts, lower=True, kind="letters")
-    return (w.hashes() & np.uint64(BUCKETS - 1)).astype(np.int32), w.doc_of_word()
+    salted = [w.hashes()] + [w.hashes(prefix=p) * np.uint64(2 * p + 1) for p in PREFIXES]
+    doc = w.doc_of_word()
+    return (np.concatenate(salted) >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int32), np.concatenate([doc] * len(salted))
 
 
 def packed_terms(texts: pa.Array) -> list[bytes]:
     out: list[bytes] = []
     for lo, hi in chunks(texts):
         bucket, doc = term_buckets(texts.slice(lo, hi - lo))
-        bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-        out += [np.unique(bucket[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        pairs = np.unique(doc.astype(np.int64) * BUCKETS + bucket)
+        bounds = np.searchsorted(pairs, np.arange(hi - lo + 1) * BUCKETS)
+        terms = (pairs & (BUCKETS - 1)).astype(np.int32)
+        out += [terms[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
     return out
 
 
@@ -70,7 +76,7 @@ class FactorizationMachine:
         return self.score(pairs // len(self.weights), pairs % len(self.weights), len(texts))
 
 
-def fit(labels: np.ndarray, packed: list[bytes], terms: int = TERMS, factors: int = FACTORS, steps: int = 150, seed: int = 7) -> FactorizationMachine:
+def fit(labels: np.ndarray, packed: list[bytes], terms: int = TERMS, factors: int = FACTORS, steps: int = 300, seed: int = 7) -> FactorizationMachine:
     y = labels.astype(np.float64)
     slots = np.full(BUCKETS, -1, dtype=np.int32)
     if not len(y) or y.min() == y.max():
@@ -101,7 +107,7 @@ def fit(labels: np.ndarray, packed: list[bytes], terms: int = TERMS, factors: in
         z = b[0] + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v * v).sum(1))
         e = (sigmoid(z) - y) * weight
         gv = x.T @ (e[:, None] * xv) - (x.T @ e)[:, None] * v
-        return [np.array([e.sum()]), x.T @ e + 2e-5 * w, gv + 2e-4 * v]
+        return [np.array([e.sum()]), x.T @ e + 2e-6 * w, gv + 1e-4 * v]
 
     start = [np.array([np.log(n1 / n0)]), np.zeros(len(best)), np.random.default_rng(seed).normal(0, 0.02, (len(best), factors))]
     b, w, v = adam(start, gradient, steps, 0.05)
