@@ -45,6 +45,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("n_factors")
+
+
 def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tiff import text_media
 
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_quality": op2_quality,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_tiff_media": op5_tiff_media,
         "op6_decontaminate": op6_decontaminate,
         "op7_source_mix": op7_source_mix,
@@ -89,9 +96,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontam, mixing, warc
+    from . import decontam, mixing, substring, warc
 
     return {
+        "op4_substring_dedup": substring.ORACLE_SQL,
         "op6_decontaminate": decontam.ORACLE_SQL,
         "op7_source_mix": mixing.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,

@@ -14,6 +14,7 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -51,3 +52,15 @@ def attempt_name(folder: str, suffix: str) -> tuple[int, str]:
     """This task's partition and a file name no other attempt uses."""
     ctx = TaskContext.get()
     return ctx.partitionId(), f"{folder}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}{suffix}"
+
+
+def keyed(docs: DataFrame, name: str = "keyed") -> DataFrame:
+    """``docs`` with a column ``__key`` that tells rows apart and is the same in every evaluation.
+
+    Where doc_id is unique and never null it serves; otherwise rows are numbered in a written copy.
+    """
+    ids = docs.select("doc_id")
+    repeated = ids.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if repeated.isEmpty():
+        return docs.withColumn("__key", F.col("doc_id").cast("long"))
+    return materialize(docs.withColumn("__key", F.monotonically_increasing_id()), name)
