@@ -45,6 +45,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setjoin import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import substring_dedup
 
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_quality": op2_quality,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_tiff_media": op5_tiff_media,
         "op6_decontaminate": op6_decontaminate,
