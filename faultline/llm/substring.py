@@ -6,8 +6,10 @@ at least ``WINDOW`` words are duplicate spans. Every block of the corpus is a re
 1. Index. Every window of ``WINDOW`` words selects the least hash among its ``ANCHOR``-word grams, its
    anchor. Equal windows select equal anchors, so a window can only recur if its anchor does. Anchors
    (about one a dozen words) are counted over the corpus.
-2. Look-up. Windows whose anchor recurs are hashed whole; a hash seen at two places or more points to
-   its first place.
+   The windows of one anchor form a block; an anchor all of whose blocks are the same words points
+   to the first of them, windows and all.
+2. Look-up. Windows of the other recurring anchors are hashed whole; a hash seen at two places or
+   more points to its first place.
 3. Parsing. A document's factor starts at its first window with a reference and is extended as long
    as the next window points one word further; where it ends, the windows across the boundary are
    tested for references of their own and start the next factor.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import keyed
-from .text import Words, chunks, long_grams, signed, string_column
+from .text import Words, _Powers, chunks, long_grams, mix, signed, string_column
 
 WINDOW = 35
 ANCHOR = 10
@@ -67,42 +69,76 @@ def windows(texts: pa.Array, window: int, anchor: int) -> tuple[Words, np.ndarra
     return words, h, start, place[start], grams[place[start]]
 
 
+class Blocks:
+    """The blocks of a chunk of texts: runs of windows of one document with one anchor place."""
+
+    def __init__(self, texts: pa.Array, window: int, anchor: int) -> None:
+        words, h, start, place, value = windows(texts, window, anchor)
+        self.window, self.h, self.start = window, h, start
+        owner = np.searchsorted(words.first, start, side="right") - 1
+        new = np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))) if len(start) else np.empty(0, dtype=bool)
+        self.begin = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.begin, len(start)))
+        self.owner = owner[self.begin]
+        self.anchor = signed(value[self.begin])
+        self.at = start[self.begin] - words.first[self.owner]
+        self.bounds = np.searchsorted(self.owner, np.arange(len(texts) + 1))
+
+    def content(self) -> np.ndarray:
+        """A hash of the words under all windows of a block."""
+        up, down = _Powers.get(len(self.h) + 1)
+        run = np.concatenate(([np.uint64(0)], np.cumsum(mix(self.h + np.uint64(9)) * up[: len(self.h)], dtype=np.uint64)))
+        first = self.start[self.begin]
+        end = first + self.size + self.window - 1
+        return signed(mix((run[end] - run[first]) * down[first] + self.size.astype(np.uint64)))
+
+
 def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = string_column(batch, "text"), batch.column(0).to_numpy()
             for lo, hi in chunks(texts):
-                words, _, start, place, value = windows(texts.slice(lo, hi - lo), window, anchor)
-                if not len(start):
-                    continue
-                owner = np.searchsorted(words.first, start, side="right") - 1
-                new = np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])))
-                yield pa.record_batch([pa.array(signed(value[new])), pa.array(keys[lo + owner[new]])], names=["anchor", "__key"])
+                b = Blocks(texts.slice(lo, hi - lo), window, anchor)
+                if len(b.begin):
+                    yield pa.record_batch([pa.array(b.anchor), pa.array(b.content()), pa.array(keys[lo + b.owner]), pa.array(b.at.astype(np.int32))], names=["anchor", "block", "__key", "at"])
+
+    return docs.select("__key", "text").mapInArrow(run, "anchor long, block long, __key long, at int")
 
-    return docs.select("__key", "text").mapInArrow(run, "anchor long, __key long")
 
+def _listed(b: Blocks, k: int, anchors: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of document ``k`` whose anchor is on its list, and their places on the list."""
+    lo, hi = b.bounds[k], b.bounds[k + 1]
+    if not anchors.is_valid or lo == hi:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    listed = anchors.values.field(0).to_numpy()
+    order = np.argsort(listed, kind="stable")
+    slot = np.minimum(np.searchsorted(listed[order], b.anchor[lo:hi]), len(order) - 1)
+    hit = listed[order][slot] == b.anchor[lo:hi]
+    return lo + np.flatnonzero(hit), order[slot[hit]]
 
-def _candidates(found: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Windows with a recurring anchor, of documents that come with the list of theirs."""
+
+def _open_windows(found: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Windows of recurring anchors whose blocks differ, hashed whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys, lists = batch.column(1).cast(pa.string()), batch.column(0).to_numpy(), batch.column(2)
             for lo, hi in chunks(texts):
-                words, h, start, _, value = windows(texts.slice(lo, hi - lo), window, anchor)
-                if not len(start):
-                    continue
-                owner = np.searchsorted(words.first, start, side="right") - 1
-                bounds = np.searchsorted(owner, np.arange(hi - lo + 1))
-                hit = np.zeros(len(start), dtype=bool)
+                b = Blocks(texts.slice(lo, hi - lo), window, anchor)
+                chosen = []
                 for k in range(hi - lo):
-                    a, b = bounds[k], bounds[k + 1]
-                    if b > a:
-                        hit[a:b] = np.isin(signed(value[a:b]), lists[lo + k].values.to_numpy())
-                start, owner = start[hit], owner[hit]
-                first, second = long_grams(h, window, 3)[start], long_grams(h, window, 5)[start]
+                    block, place = _listed(b, k, lists[lo + k])
+                    if len(block):
+                        chosen.append(block[lists[lo + k].values.field(1).to_numpy(zero_copy_only=False)[place]])
+                block = np.concatenate(chosen) if chosen else np.empty(0, dtype=np.int64)
+                if not len(block):
+                    continue
+                n = b.size[block]
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = np.repeat(b.start[b.begin[block]], n) + inside
+                first, second = long_grams(b.h, window, 3)[start], long_grams(b.h, window, 5)[start]
                 yield pa.record_batch(
-                    [pa.array(signed(first)), pa.array((second >> np.uint64(33)).astype(np.int32)), pa.array(keys[lo + owner]), pa.array((start - words.first[owner]).astype(np.int32))],
+                    [pa.array(signed(first)), pa.array((second >> np.uint64(33)).astype(np.int32)), pa.array(np.repeat(keys[lo + b.owner[block]], n)), pa.array((np.repeat(b.at[block], n) + inside).astype(np.int32))],
                     names=["hash", "check", "__key", "at"],
                 )
 
@@ -110,14 +146,21 @@ def _candidates(found: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def references(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``__key, found``: each document's recurring windows ``(at, ref_key, ref_at)``; ``docs`` has ``__key``."""
+    """``docs`` (with ``__key``) and, for each, its recurring anchors and its open windows' references.
+
+    ``anchors``: ``(anchor, open, ref_key, ref_at)``; where an anchor is not open, all its blocks are
+    the same words and repeat the first one. ``found``: ``(at, ref_key, ref_at)`` of open windows.
+    """
     anchors = _anchors(docs, window, anchor)
-    recurring = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
-    mine = anchors.join(recurring, "anchor", "left_semi").groupBy("__key").agg(F.collect_set("anchor").alias("anchors"))
-    found = _candidates(docs.select("__key", "text").join(mine, "__key").select("__key", "text", "anchors"), window, anchor)
+    recurring = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("block") != F.max("block")).alias("open"), F.min(F.struct("__key", "at")).alias("ref")).where("n > 1").select("anchor", "open", "ref")
+    listed = anchors.select("anchor", "__key").join(recurring, "anchor")
+    mine = listed.groupBy("__key").agg(F.collect_list(F.struct("anchor", "open", F.col("ref.__key").alias("ref_key"), F.col("ref.at").alias("ref_at"))).alias("anchors"))
+    told = docs.join(mine, "__key", "left")
+    found = _open_windows(told.where("anchors is not null").select("__key", "text", "anchors"), window, anchor)
     first = found.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__key", "at")).alias("ref")).where("n > 1").select("hash", "check", "ref")
     back = found.join(first, ["hash", "check"])
-    return back.groupBy("__key").agg(F.collect_list(F.struct("at", F.col("ref.__key").alias("ref_key"), F.col("ref.at").alias("ref_at"))).alias("found"))
+    back = back.groupBy("__key").agg(F.collect_list(F.struct("at", F.col("ref.__key").alias("ref_key"), F.col("ref.at").alias("ref_at"))).alias("found"))
+    return told.join(back, "__key", "left")
 
 
 def parse(at: np.ndarray, ref_key: np.ndarray, ref_at: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
@@ -129,58 +172,58 @@ def parse(at: np.ndarray, ref_key: np.ndarray, ref_at: np.ndarray, window: int)
     return [(int(at[a]), int(b - a) + window - 1, int(ref_key[a]), int(ref_at[a])) for a, b in zip(begin, end)]
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long"
-
-
-def _joined_with_references(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+def _factored(docs: DataFrame, window: int, anchor: int, schema: str, rows_of) -> DataFrame:
+    """Parse every document; ``rows_of(doc_id, words, factors)`` makes the result's rows."""
     docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "substring")
-    return docs.join(references(docs, window, anchor), "__key", "left").select("doc_id", "text", "found")
-
+    told = references(docs, window, anchor).select("doc_id", "text", "anchors", "found")
+    out = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string()}[c.split()[1]]) for c in schema.split(", ")])
 
-def _kept(text: bytes, found: pa.ListScalar, window: int) -> tuple[list[bytes], int, list]:
-    """Words that stay, the number of all, and the factors."""
-    words = text.split()
-    if not found.is_valid:
-        return words, len(words), []
-    s = found.values
-    factors = parse(*(s.field(i).to_numpy() for i in range(3)), window)
-    gone = np.zeros(len(words) + 1, dtype=np.int32)
-    for start, n, _, _ in factors:
-        gone[start] += 1
-        gone[start + n] -= 1
-    return [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0)], len(words), factors
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, texts, lists, found = batch.column(0).to_pylist(), batch.column(1).cast(pa.string()), batch.column(2), batch.column(3)
+            for lo, hi in chunks(texts):
+                b, rows = Blocks(texts.slice(lo, hi - lo), window, anchor), []
+                for k in range(hi - lo):
+                    parts = []
+                    block, place = _listed(b, k, lists[lo + k])
+                    if len(block):
+                        same = ~lists[lo + k].values.field(1).to_numpy(zero_copy_only=False)[place]
+                        block, place = block[same], place[same]
+                        n = b.size[block]
+                        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        key, at = (lists[lo + k].values.field(i).to_numpy()[place] for i in (2, 3))
+                        parts.append((np.repeat(b.at[block], n) + inside, np.repeat(key, n), np.repeat(at, n) + inside))
+                    if found[lo + k].is_valid:
+                        parts.append(tuple(found[lo + k].values.field(i).to_numpy() for i in range(3)))
+                    at, key, ref = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0),) * 3
+                    words = (texts[lo + k].as_py() or "").encode().split()
+                    rows += rows_of(owners[lo + k], words, parse(at, key, ref, window) if len(at) else [])
+                yield pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
+
+    return told.mapInArrow(run, schema)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Per document: words, words removed, the digest of what is kept, and its factors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for owner, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                kept, n, factors = _kept(text.as_py().encode() if text.is_valid else b"", found, window)
-                rows.append((owner, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), len(factors)))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors"])
+    def rows_of(owner, words: list[bytes], factors: list) -> list[tuple]:
+        gone = np.zeros(len(words) + 1, dtype=np.int32)
+        for start, n, _, _ in factors:
+            gone[start] += 1
+            gone[start + n] -= 1
+        kept = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0)] if factors else words
+        return [(owner, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), len(factors))]
 
-    return _joined_with_references(docs, window, anchor).mapInArrow(run, RESULT)
+    return _factored(docs, window, anchor, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long", rows_of)
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """One row a factor: the span, its words, and the place it repeats (row key and word)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for owner, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                if found.is_valid:
-                    words = text.as_py().encode().split()
-                    for start, n, key, at in _kept(text.as_py().encode(), found, window)[2]:
-                        rows.append((owner, start, n, key, at, b" ".join(words[start : start + n]).decode()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "start", "n_words", "ref_key", "ref_start", "span"])
-
-    return _joined_with_references(docs, window, anchor).mapInArrow(run, "doc_id long, start long, n_words long, ref_key long, ref_start long, span string")
+    def rows_of(owner, words: list[bytes], factors: list) -> list[tuple]:
+        return [(owner, start, n, key, at, b" ".join(words[start : start + n]).decode()) for start, n, key, at in factors]
+
+    return _factored(docs, window, anchor, "doc_id long, start long, n_words long, ref_key long, ref_start long, span string", rows_of)
 
 
 ORACLE_SQL = rf"""
