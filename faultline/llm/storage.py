@@ -54,13 +54,13 @@ def attempt_name(folder: str, suffix: str) -> tuple[int, str]:
     return ctx.partitionId(), f"{folder}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}{suffix}"
 
 
-def keyed(docs: DataFrame, name: str = "keyed") -> DataFrame:
+def keyed(docs: DataFrame, name: str = "keyed") -> tuple[DataFrame, bool]:
     """``docs`` with a column ``__key`` that tells rows apart and is the same in every evaluation.
 
-    Where doc_id is unique and never null it serves; otherwise rows are numbered in a written copy.
+    Where doc_id is unique and never null it serves (and the second value is true); otherwise rows
+    are numbered in a written copy.
     """
-    ids = docs.select("doc_id")
-    repeated = ids.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    repeated = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if repeated.isEmpty():
-        return docs.withColumn("__key", F.col("doc_id").cast("long"))
-    return materialize(docs.withColumn("__key", F.monotonically_increasing_id()), name)
+        return docs.withColumn("__key", F.col("doc_id").cast("long")), True
+    return materialize(docs.withColumn("__key", F.monotonically_increasing_id()), name), False

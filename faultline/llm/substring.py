@@ -155,8 +155,8 @@ def references(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
     recurring = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("block") != F.max("block")).alias("open"), F.min(F.struct("__key", "at")).alias("ref")).where("n > 1").select("anchor", "open", "ref")
     listed = anchors.select("anchor", "__key").join(recurring, "anchor")
     mine = listed.groupBy("__key").agg(F.collect_list(F.struct("anchor", "open", F.col("ref.__key").alias("ref_key"), F.col("ref.at").alias("ref_at"))).alias("anchors"))
-    told = docs.join(mine, "__key", "left")
-    found = _open_windows(told.where("anchors is not null").select("__key", "text", "anchors"), window, anchor)
+    told = docs.select("__key", "text").join(mine, "__key", "left").select("__key", "text", "anchors")
+    found = _open_windows(told, window, anchor)  # the same join as below, so its exchanges are reused
     first = found.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__key", "at")).alias("ref")).where("n > 1").select("hash", "check", "ref")
     back = found.join(first, ["hash", "check"])
     back = back.groupBy("__key").agg(F.collect_list(F.struct("at", F.col("ref.__key").alias("ref_key"), F.col("ref.at").alias("ref_at"))).alias("found"))
@@ -174,8 +174,10 @@ def parse(at: np.ndarray, ref_key: np.ndarray, ref_at: np.ndarray, window: int)
 
 def _factored(docs: DataFrame, window: int, anchor: int, schema: str, rows_of) -> DataFrame:
     """Parse every document; ``rows_of(doc_id, words, factors)`` makes the result's rows."""
-    docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "substring")
-    told = references(docs, window, anchor).select("doc_id", "text", "anchors", "found")
+    docs, own = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "substring")
+    told = references(docs, window, anchor)
+    told = told.withColumn("doc_id", F.col("__key")) if own else told.join(docs.select("__key", "doc_id"), "__key")
+    told = told.select("doc_id", "text", "anchors", "found")
     out = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string()}[c.split()[1]]) for c in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
