@@ -13,7 +13,8 @@ neighbourhood of each segment, which gives a segment of two elements or more a s
 their size-filter prefix for the rest, for which even those credits fall short.
 
 Equal sets are one node from the start, published once a task, so copies never meet in a bucket. Every
-bucket first links its nodes to its least node; candidates are verified exactly on the shingle sets.
+bucket first links its nodes to its least node; candidates are refuted by size and odd sketch, or
+verified exactly on the shingle sets.
 Nodes of a bucket that end up in different components are then compared pair by pair, so no link
 between components is lost, while a group of near copies costs a star rather than all its pairs.
 
@@ -87,6 +88,25 @@ def set_hashes(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
+#: Words of an odd sketch: bit b tells whether an odd number of a set's hashes fall into cell b. Two
+#: sketches differ in no more bits than the sets in elements, so they refute candidates exactly.
+SKETCH = tuple(f"k{i}" for i in range(8))
+_CELLS = 64 * len(SKETCH)
+
+
+def odd_sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One row of 64-bit words a set."""
+    n = len(bounds) - 1
+    cell = np.repeat(np.arange(n), np.diff(bounds)) * _CELLS + ((values >> _U(11)) & _U(_CELLS - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * _CELLS) & 1).astype(np.uint8).reshape(n, _CELLS)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+def most_apart(na: str, nb: str, num: int, den: int) -> str:
+    """SQL: the largest symmetric difference of linked sets of these sizes."""
+    return f"({na} + {nb} - 2 * ((({num} * ({na} + {nb})) + {num + den - 1}) div {num + den}))"
+
+
 def signatures(values: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Signatures, and the index of the set each belongs to."""
     size = np.diff(bounds)
@@ -137,9 +157,11 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 one, two = set_hashes(values, bounds)
                 size = np.diff(bounds)
                 empty = size == 0
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size), pa.array(signed(one), mask=empty), pa.array(signed(two), mask=empty)], names=["__key", "doc_id", "size", "node", "twin"])
+                sketch = odd_sketches(values, bounds)
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size), pa.array(signed(one), mask=empty), pa.array(signed(two), mask=empty)]
+                yield pa.record_batch([*columns, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))]], names=["__key", "doc_id", "size", "node", "twin", *SKETCH])
 
-    return docs.select("__key", "doc_id", "text").mapInArrow(run, "__key long, doc_id long, size long, node long, twin long")
+    return docs.select("__key", "doc_id", "text").mapInArrow(run, "__key long, doc_id long, size long, node long, twin long, " + ", ".join(f"{k} long" for k in SKETCH))
 
 
 def _published(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -235,56 +257,67 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of bucket members of different components; ``members``: sig, node, comp, rep, size."""
+def _across(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a, b`` of bucket members of different components that size and sketch don't refute.
+
+    ``members``: sig, comp, rep, size and the sketch. Refuted pairs never leave the task.
+    """
 
     def pairs(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        comp, rep, size = (np.concatenate(x) for x in zip(*rows))
+        comp, rep, size, sketch = (np.concatenate(x) for x in zip(*rows))
         a, b = [], []
         for i in range(len(rep) - 1):
             other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            both = size[other] + size[i]
+            apart = both - 2 * -(-num * both // (num + den))
+            other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1) <= apart]
             a.append(np.full(len(other), rep[i]))
             b.append(rep[other])
         return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        current = None
+        current, sent = None, set()
 
         def flush():
-            if held and (len(held) > 1 or len(held[0][1]) > 1):
-                a, b = pairs(held)
-                if len(a):
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            a, b = pairs(held) if sum(len(h[1]) for h in held) > 1 else ((), ())
+            new = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()) if p not in sent] if len(a) else []
+            if new:
+                if len(sent) > 1_000_000:
+                    sent.clear()
+                sent.update(new)
+                yield pa.record_batch([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             sig, comp, rep, size = (batch.column(i).to_numpy() for i in range(4))
+            sketch = np.stack([batch.column(4 + i).to_numpy() for i in range(len(SKETCH))], axis=1).view(np.uint64) if len(sig) else None
             cut = np.concatenate(([0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)])) if len(sig) else []
             for lo, hi in zip(cut[:-1], cut[1:]):
                 if sig[lo] != current:
                     yield from flush()
                     held, current = [], sig[lo]
-                held.append((comp[lo:hi], rep[lo:hi], size[lo:hi]))
+                held.append((comp[lo:hi], rep[lo:hi], size[lo:hi], sketch[lo:hi]))
         yield from flush()
 
-    ordered = members.select("sig", "comp", "rep", "size").repartition("sig").sortWithinPartitions("sig", "rep")
+    ordered = members.select("sig", "comp", "rep", "size", *SKETCH).repartition("sig").sortWithinPartitions("sig", "rep")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "join-docs")
+    docs, _ = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "join-docs")
     sets = materialize(_sets(docs, n), "join-nodes")
     # A node is a set hash; a representative is the least row of a set (two sets with one hash differ in ``twin``).
-    reps = sets.where("size > 0").groupBy("node", "twin").agg(F.min("__key").alias("rep"), F.max("size").alias("size"))
+    reps = sets.where("size > 0").groupBy("node", "twin").agg(F.min("__key").alias("rep"), F.max("size").alias("size"), *[F.max(k).alias(k) for k in SKETCH])
     reps = materialize(reps, "join-reps")
     shared = materialize(_shared(_published(docs, n, num, den)), "join-buckets")
 
     def by_rep(pairs: DataFrame) -> DataFrame:
-        """Node pairs to pairs of representatives whose sizes allow a link."""
-        left = reps.select(F.col("node").alias("center"), F.col("rep").alias("a"), F.col("size").alias("na"))
-        right = reps.select("node", F.col("rep").alias("b"), F.col("size").alias("nb"))
-        p = pairs.join(left, "center").join(right, "node").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+        """Node pairs to pairs of representatives that neither size nor sketch refutes."""
+        left = reps.select(F.col("node").alias("center"), F.col("rep").alias("a"), F.col("size").alias("na"), *[F.col(k).alias(f"a{k}") for k in SKETCH])
+        right = reps.select("node", F.col("rep").alias("b"), F.col("size").alias("nb"), *[F.col(k).alias(f"b{k}") for k in SKETCH])
+        apart = " + ".join(f"bit_count(a{k} ^ b{k})" for k in SKETCH)
+        p = pairs.join(left, "center").join(right, "node").where(f"{apart} <= {most_apart('na', 'nb', num, den)}")
         return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # Two sets with one hash are a candidate pair of their own.
@@ -296,13 +329,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     # What the stars left open: pairs of one bucket in different components.
     buckets = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.first("center").alias("center")).where("n > 1")
     members = shared.join(buckets.select("sig"), "sig", "left_semi").select("sig", "node").unionByName(buckets.select("sig", F.col("center").alias("node")))
-    named = reps.join(labels, reps["rep"] == labels["v"], "left").select("node", "rep", "size", F.coalesce("label", "rep").alias("comp"))
-    members = materialize(members.join(named, "node").select("sig", "node", "rep", "size", "comp"), "join-members")
-    mixed = members.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    sizes = reps.select("rep", "size")
-    rest = _across(members.join(mixed, "sig", "left_semi"))
-    rest = rest.join(sizes.select(F.col("rep").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("size").alias("nb")), "b")
-    rest = rest.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    named = materialize(reps.join(labels, reps["rep"] == labels["v"], "left").select("node", "rep", "size", F.coalesce("label", "rep").alias("comp"), *SKETCH), "join-named")
+    placed = members.join(named.select("node", "comp"), "node")
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+    rest = _across(members.join(mixed, "sig", "left_semi").join(named, "node"), num, den).join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest, "join-rest")
     if not rest.isEmpty():
         more = materialize(_verified(rest, docs, n, num, den), "join-edges")
