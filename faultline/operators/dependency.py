@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import kernels, stats
 from ..graph import Graph
@@ -17,7 +18,7 @@ from ..plans.iterate import cut
 from ..sources.returns import clean, listwise, pairs
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([stats.correlation_p(float(a), int(b)) if a == a else float("nan") for a, b in zip(r, n)])
 
