@@ -15,8 +15,9 @@ their size-filter prefix for the rest, for which even those credits fall short.
 Equal sets are one node from the start, published once a task, so copies never meet in a bucket. Every
 bucket first links its nodes to its least node; candidates are refuted by size and odd sketch, or
 verified exactly on the shingle sets.
-Nodes of a bucket that end up in different components are then compared pair by pair, so no link
-between components is lost, while a group of near copies costs a star rather than all its pairs.
+Rounds of forests then join what is left of a bucket's components, and at last the members of those
+that stay apart are compared pair by pair, so no link between components is lost, while a group of
+near copies costs stars and forests rather than all its pairs.
 
 Defined results: a text of fewer than ``n`` words is one shingle, its whole sequence; null, empty and
 word-free texts are empty sets, linked with nothing, each its own component; repeated rows are equal
@@ -257,10 +258,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels
 
 
-def _across(members: DataFrame, num: int, den: int) -> DataFrame:
+def _across(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs ``a, b`` of bucket members of different components that size and sketch don't refute.
 
-    ``members``: sig, comp, rep, size and the sketch. Refuted pairs never leave the task.
+    ``members``: sig, comp, rep, size and the sketch. Refuted pairs never leave the task. ``forest``
+    gives only as many pairs of a bucket as would join its components if all of them held.
     """
 
     def pairs(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,6 +273,10 @@ def _across(members: DataFrame, num: int, den: int) -> DataFrame:
             both = size[other] + size[i]
             apart = both - 2 * -(-num * both // (num + den))
             other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1) <= apart]
+            if forest:
+                found, where = np.unique(comp[other], return_index=True)
+                other = other[where]
+                comp[np.isin(comp, found)] = comp[i]
             a.append(np.full(len(other), rep[i]))
             b.append(rep[other])
         return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -328,16 +334,25 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     # What the stars left open: pairs of one bucket in different components.
     buckets = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.first("center").alias("center")).where("n > 1")
-    members = shared.join(buckets.select("sig"), "sig", "left_semi").select("sig", "node").unionByName(buckets.select("sig", F.col("center").alias("node")))
-    named = materialize(reps.join(labels, reps["rep"] == labels["v"], "left").select("node", "rep", "size", F.coalesce("label", "rep").alias("comp"), *SKETCH), "join-named")
-    placed = members.join(named.select("node", "comp"), "node")
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    rest = _across(members.join(mixed, "sig", "left_semi").join(named, "node"), num, den).join(tried, ["a", "b"], "left_anti")
-    rest = materialize(rest, "join-rest")
-    if not rest.isEmpty():
+    members = materialize(shared.join(buckets.select("sig"), "sig", "left_semi").select("sig", "node").unionByName(buckets.select("sig", F.col("center").alias("node"))), "join-members")
+    forest = True
+    while True:
+        named = materialize(reps.join(labels, reps["rep"] == labels["v"], "left").select("node", "rep", "size", F.coalesce("label", "rep").alias("comp"), *SKETCH), "join-named")
+        mixed = members.join(named.select("node", "comp"), "node").groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+        rest = _across(members.join(mixed, "sig", "left_semi").join(named, "node"), num, den, forest)
+        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "join-rest")
+        if rest.isEmpty() and forest:
+            forest = False  # what refuted or failed pairs have hidden from the forests
+            continue
+        if rest.isEmpty():
+            break
         more = materialize(_verified(rest, docs, n, num, den), "join-edges")
+        tried = tried.unionByName(rest)
         if not more.isEmpty():
-            labels = components(edges.unionByName(more))
+            edges = edges.unionByName(more)
+            labels = components(edges)
+        if not forest:
+            break
 
     named = reps.join(labels, reps["rep"] == labels["v"], "left").select("node", "twin", F.coalesce("label", "rep").alias("comp"))
     placed = sets.join(named, ["node", "twin"], "left")
