@@ -135,8 +135,8 @@ z as (select ts, value, case when count(*) over w >= 3 then (value - avg(value)
 def _mst() -> str:
     return "with recursive " + MONTHLY_EDGES + f""",
 ranked as materialized (select a as src, b as dst, {DISTANCE} as distance, row_number() over (order by {DISTANCE}, a, b) as k from me),
-both as materialized (select src, dst, k from ranked union all select dst, src, k from ranked),
-reach as (select k as e, src as id from ranked union select r.e, b.dst from reach r join both b on b.src = r.id and b.k < r.e)
+ways as materialized (select src, dst, k from ranked union all select dst, src, k from ranked),
+reach as (select k as e, src as id from ranked union select r.e, b.dst from reach r join ways b on b.src = r.id and b.k < r.e)
 select src, dst, distance from ranked where not exists (select 1 from reach where reach.e = ranked.k and reach.id = ranked.dst)"""
 
 
@@ -163,7 +163,7 @@ select round(sum((fraction_removed - pf) * (lcc + pl) / 2), 4) as nfi, coalesce(
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     o["edge_load_sum"] = f"with {RAW} select src, dst, round(sum(v / 1e6), 6) as exposure from raw group by 1, 2"
-    o["edge_load_last"] = f"with {RAW} select src, dst, round(arg_max(v, l_orderkey * 100 + l_linenumber), 6) as weight from raw group by 1, 2"
+    o["edge_load_last"] = f"with {RAW} select src, dst, round(v, 6) as weight from (select *, row_number() over (partition by src, dst order by l_orderkey desc, l_linenumber desc, v desc) as rn from raw) where rn = 1"
     o["capital_buffer"] = f"with {TRADE} select tv.id, round((0.10 + 0.20 * (((cast(tv.id as bigint) * 37) % 100) / 100.0)::double) * (coalesce(o.out, 0.0) + 10), 2) as capital from tv left join (select src as id, sum(w) as out from te group by 1) o using (id)"
     o["degree_metrics"] = f"with {TRADE}, {DEGREES} select id, in_degree + out_degree as degree, in_degree, out_degree, round((in_degree + out_degree) / (n - 1), 6) as degree_centrality, round(in_strength, 6) as in_strength, round(out_strength, 6) as out_strength from deg, nn"
     o["global_basic"] = f"with {TRADE}, {DEGREES} select count(*)::bigint as n_nodes, (select count(*) from te)::bigint as n_edges, round((select count(*) from te) / (count(*) * (count(*) - 1))::double, 6) as density, round(avg(in_degree + out_degree), 6) as avg_degree, max(in_degree + out_degree)::bigint as max_degree, round(stddev_pop(in_degree + out_degree) / (avg(in_degree + out_degree) + 1e-9), 6) as degree_heterogeneity, round(avg(in_strength + out_strength), 6) as avg_strength from deg"

@@ -35,7 +35,7 @@ def edge_load_sum(spark, d):
 
 
 def edge_load_last(spark, d):
-    return _r6(network.last_edges(trades(spark, d), ["l_orderkey", "l_linenumber"], "v"), "weight")
+    return _r6(network.last_edges(trades(spark, d), ["l_orderkey", "l_linenumber", "v"], "v"), "weight")
 
 
 def capital_buffer(spark, d):
