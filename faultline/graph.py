@@ -35,7 +35,7 @@ class Graph:
     def from_edges(cls, edges: DataFrame, directed: bool = True, vertices: DataFrame | None = None, weight: str | None = "weight") -> Graph:
         """Edges without a usable weight weigh 1; rows with a null end are dropped."""
         w = F.col(weight).cast("double") if weight in edges.columns else F.lit(1.0)
-        kept = [F.col(c) for c in edges.columns if c not in ("src", "dst", "weight")]
+        kept = [F.col(c) for c in edges.columns if c not in ("src", "dst", "weight", weight)]
         e = edges.select("src", "dst", F.coalesce(w, F.lit(1.0)).alias("weight"), *kept).where("src is not null and dst is not null")
         v = vertices if vertices is not None else e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         return cls(v, e, directed)
