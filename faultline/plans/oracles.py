@@ -241,5 +241,36 @@ v as (select distinct s.snap_id, r.asset as id from spread0 s, (select distinct
 select v.snap_id, v.id, round(coalesce(d.d, 0) / ((select count(distinct asset) from ret) - 1)::double, 6) as value from v left join d on d.snap_id = v.snap_id and d.id = v.id"""
     o["structural_breaks"] = f"with {Z} select strftime(ts, '%Y-%m-%d') as ts, value, round(z, 6) as z from z where abs(z) > 1.5"
     o["anomaly_flags"] = f"with {Z} select strftime(ts, '%Y-%m-%d') as ts, round(z, 6) as z, coalesce(abs(z) > 2.0, false) as flag from z"
+    o["ewm_corr"] = f"""with {_events('day')},
+pr as materialized (select a.asset as a, b.asset as b, a.r as x, b.r as y, row_number() over (partition by a.asset, b.asset order by a.t) as k from ret0 a join ret0 b on a.t = b.t and a.asset < b.asset),
+m as (select p.a, p.b, p.k, sum(case when q.k = 1 then 1.0::double else 0.06::double end * power(0.94::double, p.k - q.k) * q.x) as mx, sum(case when q.k = 1 then 1.0::double else 0.06::double end * power(0.94::double, p.k - q.k) * q.y) as my
+  from pr p join pr q on p.a = q.a and p.b = q.b and q.k <= p.k group by 1, 2, 3),
+n as (select a, b, max(k) as n from pr group by 1, 2),
+d as (select pr.a, pr.b, pr.k, pr.x - m.mx as dx, pr.y - m.my as dy from pr join m on pr.a = m.a and pr.b = m.b and m.k = pr.k - 1),
+v as (select n.a, n.b, coalesce(sum(0.06::double * power(0.94::double, n - k) * dx * dx), 0) + power(0.94::double, max(n) - 1) * 0.01 as xx, coalesce(sum(0.06::double * power(0.94::double, n - k) * dy * dy), 0) + power(0.94::double, max(n) - 1) * 0.01 as yy,
+  coalesce(sum(0.06::double * power(0.94::double, n - k) * dx * dy), 0) as xy from n left join d on n.a = d.a and n.b = d.b group by 1, 2)
+select a, b, round(xy / ((sqrt(xx) + 1e-9) * (sqrt(yy) + 1e-9)), 6) as corr from v"""
+    o["betweenness"] = und_bfs + """,
+dm as materialized (select * from dist),
+""" + ",\n".join(["s0 as materialized (select id as root, id, 1.0::double as c from tv)", *[f"s{k} as materialized (select s.root, a.dst as id, sum(s.c) as c from s{k - 1} s join arcs a on a.src = s.id join dm on dm.root = s.root and dm.id = a.dst and dm.d = {k} group by 1, 2)" for k in range(1, 9)], "sg as materialized (" + " union all ".join(f"select * from s{k}" for k in range(9)) + ")"]) + """,
+ds as materialized (select dm.root, dm.id, dm.d, sg.c from dm join sg using (root, id)),
+n as (select count(*)::double as n from tv),
+b as (select x.id as v, sum(x.c * y.c / st.c) as s from ds st join ds x on x.root = st.root join ds y on y.root = x.id and y.id = st.id where st.d > 0 and x.id <> st.root and x.id <> st.id and x.d + y.d = st.d group by 1)
+select tv.id, round(coalesce(b.s, 0.0) / ((n - 1) * (n - 2)), 6) as betweenness from tv cross join n left join b on b.v = tv.id"""
+    o["evolution_metrics"] = "with recursive " + SLIDING + """,
+ids as materialized (select distinct asset as id from ret),
+snaps as materialized (select snap_id, max(t) as ts from spread0 group by 1),
+ad as materialized (select snap_id, a as s, b as d from snap_edges union all select snap_id, b, a from snap_edges),
+reach as (select snap_id, id as root, id from snaps, ids union select r.snap_id, r.root, ad.d from reach r join ad on ad.snap_id = r.snap_id and ad.s = r.id),
+comp as (select snap_id, count(distinct c) as n from (select snap_id, root, min(id) as c from reach group by 1, 2) group by 1),
+k as (select snap_id, s as id, count(*) as k from ad group by 1, 2),
+tri as (select x.snap_id, x.s as id, count(*) / 2 as t from ad x join ad y on x.snap_id = y.snap_id and x.s = y.s and x.d <> y.d join ad z on z.snap_id = x.snap_id and z.s = x.d and z.d = y.d group by 1, 2),
+cl as (select snap_id, sum(case when k.k < 2 then 0.0 else 2 * coalesce(t, 0) / (k.k * (k.k - 1))::double end) / (select count(*) from ids) as c from k left join tri using (snap_id, id) group by 1),
+m as (select s.snap_id, s.ts, count(e.a) as m, avg(e.weight) as w from snaps s left join snap_edges e using (snap_id) group by 1, 2),
+kept as (select x.snap_id, count(*) as n from snap_edges x join snap_edges y on x.snap_id = y.snap_id + 1 and x.a = y.a and x.b = y.b group by 1),
+o as (select m.*, lag(m) over (order by snap_id) as before, coalesce(kept.n, 0) as kept from m left join kept using (snap_id))
+select strftime(ts, '%Y-%m-%d') as ts, o.m::bigint as n_edges, round(o.m / ((select count(*) from ids) * ((select count(*) from ids) - 1) / 2.0), 6) as density, round(coalesce(w, 0.0), 6) as avg_weight, round(coalesce(cl.c, 0.0), 6) as avg_clustering, comp.n::bigint as n_components,
+  round(case when before is not null and (o.m > 0 or before > 0) then ((o.m - kept) + (before - kept)) / (o.m + before + 1e-9) end, 6) as edge_turnover
+from o left join cl using (snap_id) left join comp using (snap_id)"""
     o["edge_index"] = f"with {TRADE}, vi as (select id, row_number() over (order by id) - 1 as o from tv) select x.o::bigint as src_ix, y.o::bigint as dst_ix from te join vi x on x.id = te.src join vi y on y.id = te.dst"
     return o
