@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
     # The cut: the last copy, in order of (finish, rank, epoch, place), within the budget.
     per_unit = max(1, round(n / bucket_rows))
-    copies = placed.where("size > 0").select("rank", "size", "upto", "budget", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), ((F.col("source_size") * e + F.col("upto")) / F.col("target")).alias("finish")) for e in range(cap)])).alias("c")).select("rank", "size", "upto", "budget", "c.*").withColumn("slot", F.floor(F.col("finish") * per_unit))
+    copies = placed.where("size > 0").select("rank", "size", "upto", "budget", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), F.try_divide((F.col("source_size") * e + F.col("upto")).cast("double"), F.col("target")).alias("finish")) for e in range(cap)])).alias("c")).select("rank", "size", "upto", "budget", "c.*").withColumn("slot", F.floor(F.col("finish") * per_unit))
     slots = copies.groupBy("slot").agg(F.sum("size").alias("slot_size"), F.max("budget").alias("budget"))
     upto_slot = F.sum("slot_size").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
     edge = slots.withColumn("upto_slot", upto_slot).where("upto_slot > budget").agg(F.min_by(F.struct("slot", (F.col("upto_slot") - F.col("slot_size")).alias("spent"), "budget"), "slot").alias("e")).first().e
@@ -93,10 +93,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         cut = place(*map(F.lit, end))
         count = F.lit(0)
         for e in range(cap):
-            finish = (F.col("source_size") * e + F.col("upto")) / F.col("target")
+            finish = F.try_divide((F.col("source_size") * e + F.col("upto")).cast("double"), F.col("target"))
             count = count + F.when(place(finish, F.col("rank"), F.lit(e), F.col("upto")) <= cut, 1).otherwise(0)
         count = F.when(F.col("size") > 0, count).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", count.cast("int").alias("copies"), (count * F.col("size")).cast("long").alias("taken"), (F.col("upto") / F.col("target")).alias("finish"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", count.cast("int").alias("copies"), (count * F.col("size")).cast("long").alias("taken"), F.try_divide(F.col("upto").cast("double"), F.col("target")).alias("finish"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:

@@ -166,7 +166,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, t
         return [r.tobytes() for lo, hi in chunks(texts, CHUNK_BYTES) for r in pooled(texts.slice(lo, hi - lo), vectors)]
 
     y, packed = labelled_features(docs, labels, "quality", fold(F.col("doc_id"), folds) != held, features, limit)
-    net = fit(y, np.frombuffer(b"".join(packed), dtype=np.float32).reshape(len(y), -1))
+    net = fit(y, np.frombuffer(b"".join(packed), dtype=np.float32).reshape(len(y), 3 * DIMS + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

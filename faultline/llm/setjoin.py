@@ -362,9 +362,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without those that are linked to one of smaller id; of repeated rows one stays.
+    """The documents without those that are linked to one of smaller id.
 
-    Documents with no words are not linked with anything and all stay.
+    Documents with no words are not linked with anything and all stay; so do rows without an id, and
+    rows that repeat an id that stays.
     """
     found = jaccard_components(docs, n, num, den)
     drop = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()

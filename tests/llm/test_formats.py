@@ -37,7 +37,7 @@ def test_units_encode_like_whole_texts(vocabulary):
         assert ids.tolist() == [i for w in want for i in w]
 
 
-@pytest.mark.parametrize("kind,width", itertools.product(["bit", "byte"], [2, 4]))
+@pytest.mark.parametrize("kind,width", list(itertools.product(["bit", "byte"], [2, 4])))
 def test_planes_round_trip(kind, width):
     ids = np.random.default_rng(2).integers(0, 50000, 1003).astype(f"<u{width}")
     assert (tokenbin.from_planes(tokenbin.to_planes(ids, width, kind), len(ids), width, kind) == ids).all()
