@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 WEIGHTS = (3, 1, 2)
 
 
