@@ -67,14 +67,11 @@ def _power(g: Graph, arcs: DataFrame, update: Column, start: Column, rounds: int
     x = cut(g.vertices.select("id", start.alias("x")))
     for _ in range(rounds):
         s = arcs.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("weight")).alias("s"))
-        y = x.join(s, "id", "left").select("id", "x", F.coalesce("s", F.lit(0.0)).alias("s")).select("id", "x", update.alias("y"))
-        if norm:
-            y = cut(y)
-            size = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
-            y = y.withColumn("y", F.col("y") / F.lit(size))
-        y = cut(y)
-        done = tol is not None and (y.agg(F.sum(F.abs(F.col("y") - F.col("x")))).first()[0] or 0.0) < n * tol
-        x = y.select("id", F.col("y").alias("x"))
+        y = cut(x.join(s, "id", "left").select("id", "x", F.coalesce("s", F.lit(0.0)).alias("s")).select("id", "x", update.alias("y")))
+        size = (y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0) if norm else 1.0
+        new = F.col("y") / F.lit(size)
+        done = tol is not None and (y.agg(F.sum(F.abs(new - F.col("x")))).first()[0] or 0.0) < n * tol
+        x = y.select("id", new.alias("x"))
         if done:
             break
     return x
@@ -83,7 +80,7 @@ def _power(g: Graph, arcs: DataFrame, update: Column, start: Column, rounds: int
 def eigenvector(g: Graph, rounds: int = 500, tol: float | None = 1e-6, weighted: bool = False) -> DataFrame:
     """Power iteration with the shift x <- x + Ax on the undirected graph, L2-normed."""
     n = max(1, g.vertices.count())
-    arcs = g.undirected().arcs().where("src <> dst or true")
+    arcs = g.undirected().arcs()
     arcs = cut(arcs if weighted else arcs.withColumn("weight", F.lit(1.0)))
     x = _power(g, arcs, F.col("x") + F.col("s"), F.lit(1.0 / n), rounds, tol, True)
     return x.select("id", F.col("x").alias("eigenvector"))
@@ -112,12 +109,12 @@ def spectral_radius(g: Graph, rounds: int = 200) -> float:
     """Largest eigenvalue of the undirected weighted adjacency, by the Rayleigh quotient of power iteration."""
     u = g.undirected()
     arcs = cut(u.arcs())
-    x = eigenvector(g, rounds, 1e-9, True)
+    x = eigenvector(g, rounds, 1e-7, True)
     s = arcs.join(x.select(F.col("id").alias("src"), F.col("eigenvector").alias("x")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("weight")).alias("s"))
     return float(x.join(s, "id").agg(F.sum(F.col("s") * F.col("eigenvector"))).first()[0] or 0.0)
 
 
-def katz(g: Graph, alpha: float | None = None, rounds: int = 300, tol: float | None = 1e-10) -> DataFrame:
+def katz(g: Graph, alpha: float | None = None, rounds: int = 300, tol: float | None = 1e-8) -> DataFrame:
     """x <- alpha A'x + 1, L2-normed at the end; alpha defaults to 1 / (1.1 * spectral radius)."""
     if alpha is None:
         radius = spectral_radius(g)
