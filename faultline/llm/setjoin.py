@@ -27,6 +27,7 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,9 @@ class Bands:
         h = max(t - 2 * -(-self.num * t // (self.num + self.den)) for t in range(max(2, total - 4), total + 1))
         self.low.append(nxt)
         self.most.append(max(0, h))
-        self.segments.append(0 if h <= 0 else h + 1 + max(1, (h + 20) // 30))
+        # Spare segments for the empty ones of the band's smallest sets, and two deviations more.
+        empty = (h + 1) * math.exp(-self.low[-2] / max(1, h + 1))
+        self.segments.append(0 if h <= 0 else h + 1 + max(1, math.ceil(empty + 2 * math.sqrt(empty))))
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         while self.low[-1] <= int(sizes.max(initial=0)):
