@@ -54,11 +54,12 @@ def transitivity(g: Graph) -> DataFrame:
 
 
 def assortativity(g: Graph) -> DataFrame:
-    """Pearson correlation of the degrees at the ends of edges (out-degree to in-degree when directed)."""
+    """Pearson correlation of the degrees at the ends of edges (out-degree to in-degree when directed); NaN where degrees don't vary."""
     d = degrees(g)
     left, right = ("out_degree", "in_degree") if g.directed else ("degree", "degree")
     a, b = d.select(F.col("id").alias("src"), F.col(left).alias("x")), d.select(F.col("id").alias("dst"), F.col(right).alias("y"))
-    return g.arcs().join(a, "src").join(b, "dst").agg(F.corr("x", "y").alias("degree_assortativity"))
+    m = g.arcs().join(a, "src").join(b, "dst").agg(F.covar_pop("x", "y").alias("xy"), (F.stddev_pop("x") * F.stddev_pop("y")).alias("s"))
+    return m.select(F.when(F.col("s") > 0, F.try_divide("xy", "s")).when(F.col("s") == 0, F.lit(float("nan"))).alias("degree_assortativity"))
 
 
 def _power(g: Graph, arcs: DataFrame, update: Column, start: Column, rounds: int, tol: float | None, norm: bool) -> DataFrame:

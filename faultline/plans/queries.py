@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..graph import Graph
 from ..operators import contagion, dependency, embedding, features, metrics, multilayer, paths, structure, temporal
 from ..sources import network
 from ..sources.returns import clean
-from ..sources.tables import by_number, coship, daily_volume, event_layers, event_series, monthly, most_exposed, table, trade_exposure, trade_graph, trades
+from ..sources.tables import TOP, by_number, coship, daily_volume, event_layers, event_series, monthly, most_exposed, table, trade_exposure, trade_graph, trades
 from . import facade
 from .iterate import cut
 
@@ -22,8 +23,8 @@ def _cached(g: Graph) -> Graph:
     return Graph(cut(g.vertices), cut(g.edges), g.directed)
 
 
-def _trade(spark: SparkSession, d: str, with_capital: bool = False) -> Graph:
-    return _cached(trade_graph(spark, d, with_capital))
+def _trade(spark: SparkSession, d: str, with_capital: bool = False, top: int | None = TOP) -> Graph:
+    return _cached(trade_graph(spark, d, with_capital, top))
 
 
 def _r6(df: DataFrame, *columns: str) -> DataFrame:
@@ -38,80 +39,80 @@ def edge_load_last(spark, d):
     return _r6(network.last_edges(trades(spark, d), ["l_orderkey", "l_linenumber", "v"], "v"), "weight")
 
 
-def capital_buffer(spark, d):
-    e = trade_exposure(spark, d)
+def capital_buffer(spark, d, top=TOP):
+    e = trade_exposure(spark, d, top=top)
     v = Graph.from_edges(e, weight="exposure").vertices
     out = network.out_exposure(v, e)
     return out.select("id", F.round((0.10 + 0.20 * by_number("id")) * (F.col("out") + 10), 2).alias("capital"))
 
 
-def degree_metrics(spark, d):
-    m = metrics.degrees(trade_graph(spark, d))
+def degree_metrics(spark, d, top=TOP):
+    m = metrics.degrees(trade_graph(spark, d, top=top))
     return _r6(m.select("id", "degree", "in_degree", "out_degree", "degree_centrality", "in_strength", "out_strength"), "degree_centrality", "in_strength", "out_strength")
 
 
-def global_basic(spark, d):
-    return _r6(metrics.global_basic(trade_graph(spark, d)), "density", "avg_degree", "degree_heterogeneity", "avg_strength")
+def global_basic(spark, d, top=TOP):
+    return _r6(metrics.global_basic(trade_graph(spark, d, top=top)), "density", "avg_degree", "degree_heterogeneity", "avg_strength")
 
 
-def clustering(spark, d):
-    return _r6(metrics.clustering(coship(spark, d)), "clustering")
+def clustering(spark, d, top=TOP):
+    return _r6(metrics.clustering(coship(spark, d, top=top)), "clustering")
 
 
-def transitivity(spark, d):
-    return _r6(metrics.transitivity(coship(spark, d)), "transitivity")
+def transitivity(spark, d, top=TOP):
+    return _r6(metrics.transitivity(coship(spark, d, top=top)), "transitivity")
 
 
-def assortativity(spark, d):
-    return _r6(metrics.assortativity(coship(spark, d)), "degree_assortativity")
+def assortativity(spark, d, top=TOP):
+    return _r6(metrics.assortativity(coship(spark, d, top=top)), "degree_assortativity")
 
 
-def components(spark, d):
-    return paths.components(coship(spark, d))
+def components(spark, d, top=TOP):
+    return paths.components(coship(spark, d, top=top))
 
 
-def bfs_paths(spark, d):
-    return paths.bfs(_trade(spark, d)).select("root", "id", F.col("dist").cast("long").alias("dist"))
+def bfs_paths(spark, d, top=TOP):
+    return paths.bfs(_trade(spark, d, top=top)).select("root", "id", F.col("dist").cast("long").alias("dist"))
 
 
-def closeness(spark, d):
-    return _r6(paths.closeness(_trade(spark, d)), "closeness")
+def closeness(spark, d, top=TOP):
+    return _r6(paths.closeness(_trade(spark, d, top=top)), "closeness")
 
 
-def harmonic(spark, d):
-    return _r6(paths.harmonic(_trade(spark, d)), "harmonic")
+def harmonic(spark, d, top=TOP):
+    return _r6(paths.harmonic(_trade(spark, d, top=top)), "harmonic")
 
 
-def path_length(spark, d):
-    return _r6(paths.path_lengths(_trade(spark, d).undirected()), "lcc_fraction", "avg_path_length")
+def path_length(spark, d, top=TOP):
+    return _r6(paths.path_lengths(_trade(spark, d, top=top).undirected()), "lcc_fraction", "avg_path_length")
 
 
-def betweenness(spark, d):
-    return _r6(paths.betweenness(_trade(spark, d).undirected()), "betweenness")
+def betweenness(spark, d, top=TOP):
+    return _r6(paths.betweenness(_trade(spark, d, top=top).undirected()), "betweenness")
 
 
-def betweenness_weighted(spark, d):
-    return _r6(paths.betweenness(_trade(spark, d), weighted=True), "betweenness")
+def betweenness_weighted(spark, d, top=TOP):
+    return _r6(paths.betweenness(_trade(spark, d, top=top), weighted=True), "betweenness")
 
 
-def pagerank_k(spark, d):
-    return _r6(metrics.pagerank(_trade(spark, d), rounds=ROUNDS, tol=None), "pagerank")
+def pagerank_k(spark, d, top=TOP):
+    return _r6(metrics.pagerank(_trade(spark, d, top=top), rounds=ROUNDS, tol=None), "pagerank")
 
 
-def eigenvector_k(spark, d):
-    return _r6(metrics.eigenvector(_trade(spark, d), rounds=ROUNDS, tol=None), "eigenvector")
+def eigenvector_k(spark, d, top=TOP):
+    return _r6(metrics.eigenvector(_trade(spark, d, top=top), rounds=ROUNDS, tol=None), "eigenvector")
 
 
-def katz_k(spark, d):
-    return _r6(metrics.katz(_trade(spark, d), alpha=0.001, rounds=ROUNDS, tol=None), "katz")
+def katz_k(spark, d, top=TOP):
+    return _r6(metrics.katz(_trade(spark, d, top=top), alpha=0.001, rounds=ROUNDS, tol=None), "katz")
 
 
-def coreness(spark, d):
-    return metrics.coreness(coship(spark, d))
+def coreness(spark, d, top=TOP):
+    return metrics.coreness(coship(spark, d, top=top))
 
 
-def all_centralities(spark, d):
-    return features.centralities(_trade(spark, d))
+def all_centralities(spark, d, top=TOP):
+    return features.centralities(_trade(spark, d, top=top))
 
 
 def systemic_importance(spark, d):
@@ -120,95 +121,95 @@ def systemic_importance(spark, d):
     return _r6(metrics.systemic_importance(frame, 5), "score")
 
 
-def top_influential(spark, d):
-    m = metrics.degrees(trade_graph(spark, d)).select("id", "degree", "in_degree", "in_strength")
+def top_influential(spark, d, top=TOP):
+    m = metrics.degrees(trade_graph(spark, d, top=top)).select("id", "degree", "in_degree", "in_strength")
     return _r6(metrics.top_by_metric(m, 5).withColumn("rank", F.col("rank").cast("long")), "value")
 
 
-def modularity(spark, d):
+def modularity(spark, d, top=TOP):
     part = table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("id"), F.col("n_regionkey").alias("community"))
-    return _r6(metrics.modularity(trade_graph(spark, d), part), "q")
+    return _r6(metrics.modularity(trade_graph(spark, d, top=top), part), "q")
 
 
-def communities_greedy(spark, d):
-    return structure.greedy_communities(coship(spark, d))
+def communities_greedy(spark, d, top=TOP):
+    return structure.greedy_communities(coship(spark, d, top=top))
 
 
-def communities_louvain(spark, d):
-    return structure.louvain(coship(spark, d))
+def communities_louvain(spark, d, top=TOP):
+    return structure.louvain(coship(spark, d, top=top))
 
 
-def communities_spectral(spark, d):
-    return structure.spectral_communities(coship(spark, d), 3)
+def communities_spectral(spark, d, top=TOP):
+    return structure.spectral_communities(coship(spark, d, top=top), 3)
 
 
-def attack_curve(spark, d):
-    g = _trade(spark, d).undirected()
+def attack_curve(spark, d, top=TOP):
+    g = _trade(spark, d, top=top).undirected()
     return _r6(structure.attack_curve(g, structure.attack_order(g, "degree")), "fraction_removed", "lcc")
 
 
-def attack_random(spark, d):
-    g = _trade(spark, d).undirected()
+def attack_random(spark, d, top=TOP):
+    g = _trade(spark, d, top=top).undirected()
     return structure.attack_curve(g, structure.attack_order(g, "random"))
 
 
-def fragility(spark, d):
-    g = _trade(spark, d).undirected()
+def fragility(spark, d, top=TOP):
+    g = _trade(spark, d, top=top).undirected()
     curve = structure.attack_curve(g, structure.attack_order(g, "degree"))
     return structure.fragility(curve, g.vertices.count())
 
 
-def spectral_profile(spark, d):
-    return structure.spectral_profile(_trade(spark, d))
+def spectral_profile(spark, d, top=TOP):
+    return structure.spectral_profile(_trade(spark, d, top=top))
 
 
-def contagion_threshold(spark, d):
-    g = _trade(spark, d)
+def contagion_threshold(spark, d, top=TOP):
+    g = _trade(spark, d, top=top)
     return contagion.threshold_contagion(g, most_exposed(g), 0.4).select("id", F.col("step").cast("long").alias("step"))
 
 
-def contagion_legacy(spark, d):
-    g = _trade(spark, d)
+def contagion_legacy(spark, d, top=TOP):
+    g = _trade(spark, d, top=top)
     return contagion.threshold_contagion(g, most_exposed(g), 0.3, direction="in", max_steps=10).select("id", F.col("step").cast("long").alias("step"))
 
 
-def failures_over_time(spark, d):
-    g = _trade(spark, d)
+def failures_over_time(spark, d, top=TOP):
+    g = _trade(spark, d, top=top)
     return contagion.failures_over_time(contagion.threshold_contagion(g, most_exposed(g), 0.4)).select(F.col("step").cast("long").alias("step"), "new", "cumulative")
 
 
-def balance_sheet_cascade(spark, d):
-    g = _trade(spark, d, True)
+def balance_sheet_cascade(spark, d, top=TOP):
+    g = _trade(spark, d, True, top=top)
     failed, losses = contagion.balance_sheet_cascade(g, most_exposed(g))
     out = losses.join(failed, "id", "full_outer")
     return _r6(out.select("id", F.col("step").cast("long").alias("step"), F.coalesce("loss", F.lit(0.0)).alias("loss")), "loss")
 
 
-def debtrank_k(spark, d):
-    g = _trade(spark, d)
+def debtrank_k(spark, d, top=TOP):
+    g = _trade(spark, d, top=top)
     return _r6(contagion.debtrank_rounds(g, most_exposed(g), 0.5, 5), "h")
 
 
-def debtrank(spark, d):
-    g = _trade(spark, d)
+def debtrank(spark, d, top=TOP):
+    g = _trade(spark, d, top=top)
     return contagion.debtrank(g, most_exposed(g))
 
 
-def contagion_index(spark, d):
-    return _r6(contagion.contagion_index(_trade(spark, d)), "contagion_index")
+def contagion_index(spark, d, top=TOP):
+    return _r6(contagion.contagion_index(_trade(spark, d, top=top)), "contagion_index")
 
 
-def contagion_index_undirected(spark, d):
-    return contagion.contagion_index(_trade(spark, d).undirected())
+def contagion_index_undirected(spark, d, top=TOP):
+    return contagion.contagion_index(_trade(spark, d, top=top).undirected())
 
 
-def shock_topk(spark, d):
-    scores = metrics.degrees(trade_graph(spark, d)).select("id", "degree_centrality")
+def shock_topk(spark, d, top=TOP):
+    scores = metrics.degrees(trade_graph(spark, d, top=top)).select("id", "degree_centrality")
     return contagion.top_k(scores, "degree_centrality", 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-def survivor_subgraph(spark, d):
-    g = _trade(spark, d)
+def survivor_subgraph(spark, d, top=TOP):
+    g = _trade(spark, d, top=top)
     return g.without(contagion.threshold_contagion(g, most_exposed(g), 0.4)).edges.select("src", "dst")
 
 
@@ -359,30 +360,30 @@ def ewm_corr(spark, d):
     return _r6(temporal.ewm_correlations(event_series(spark, d, "day")), "corr")
 
 
-def random_walks(spark, d):
-    return embedding.random_walks(coship(spark, d), 10, 2)
+def random_walks(spark, d, top=TOP):
+    return embedding.random_walks(coship(spark, d, top=top), 10, 2)
 
 
-def node2vec(spark, d):
-    return embedding.node2vec(coship(spark, d), 8, 10, 3)
+def node2vec(spark, d, top=TOP):
+    return embedding.node2vec(coship(spark, d, top=top), 8, 10, 3)
 
 
-def node_features(spark, d):
-    return features.node_features(_trade(spark, d, True))
+def node_features(spark, d, top=TOP):
+    return features.node_features(_trade(spark, d, True, top=top))
 
 
-def edge_index(spark, d):
-    return features.edge_index(trade_graph(spark, d)).select("src_ix", "dst_ix")
+def edge_index(spark, d, top=TOP):
+    return features.edge_index(trade_graph(spark, d, top=top)).select("src_ix", "dst_ix")
 
 
-def shock_scenarios_lr(spark, d):
-    g = _trade(spark, d, True)
+def shock_scenarios_lr(spark, d, top=TOP):
+    g = _trade(spark, d, True, top=top)
     scenarios = cut(features.shock_scenarios(g, 30))
     return features.train_scenarios(g, scenarios)[1]
 
 
-def failure_risk(spark, d):
-    g = _trade(spark, d, True)
+def failure_risk(spark, d, top=TOP):
+    g = _trade(spark, d, True, top=top)
     return features.failure_risk(g, contagion.threshold_contagion(g, most_exposed(g), 0.4))
 
 
@@ -390,6 +391,17 @@ def suite_summary(spark, d):
     return facade.graph_interface(event_series(spark, d, "hour"), corr_threshold=0.02, mi_threshold=0.0, te_threshold=0.0, fusion_threshold=0.0).summary()
 
 
+#: Queries on the two top-five views, registered a second time as ``<name>_full`` on every link; those have no SQL.
+FULL = (
+    "capital_buffer degree_metrics global_basic clustering transitivity assortativity components bfs_paths closeness harmonic "
+    "path_length betweenness betweenness_weighted pagerank_k eigenvector_k katz_k coreness all_centralities top_influential "
+    "modularity communities_greedy communities_louvain communities_spectral attack_curve attack_random fragility spectral_profile "
+    "contagion_threshold contagion_legacy failures_over_time balance_sheet_cascade debtrank_k debtrank contagion_index "
+    "contagion_index_undirected shock_topk survivor_subgraph random_walks node2vec node_features edge_index shock_scenarios_lr "
+    "failure_risk"
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         "edge_load_sum edge_load_last capital_buffer degree_metrics global_basic clustering transitivity assortativity components "
@@ -402,4 +414,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "layer_degree_corr sliding_corr expanding_corr evolution_metrics structural_breaks anomaly_flags temporal_degree "
         "temporal_betweenness ewm_corr random_walks node2vec node_features edge_index shock_scenarios_lr failure_risk suite_summary"
     )
-    return {n: globals()[n] for n in names.split()}
+    found = {n: globals()[n] for n in names.split()}
+    return found | {f"{n}_full": partial(globals()[n], top=None) for n in FULL.split()}

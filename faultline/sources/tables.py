@@ -28,11 +28,21 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(_nation("s_nationkey").alias("source"), _nation("c_nationkey").alias("target"), "v", "l_orderkey", "l_linenumber")
 
 
-def trade_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``src, dst, exposure`` in millions: the five largest targets of each source."""
+#: Links a vertex keeps in the views that SQL covers; ``top=None`` keeps every link.
+TOP = 5
+
+
+def _heaviest(e: DataFrame, weight: str, top: int | None) -> DataFrame:
+    if top is None:
+        return e
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.col(weight).desc(), "dst"))
+    return e.withColumn("rn", place).where(F.col("rn") <= top).drop("rn")
+
+
+def trade_exposure(spark: SparkSession, sf_dir: str, top: int | None = TOP) -> DataFrame:
+    """``src, dst, exposure`` in millions: the ``top`` largest targets of each source, or all."""
     e = trades(spark, sf_dir).where("source <> target").groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.round(F.sum("v") / 1e6, 6).alias("exposure"))
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.col("exposure").desc(), "dst"))
-    return e.withColumn("rn", place).where("rn <= 5").drop("rn")
+    return _heaviest(e, "exposure", top)
 
 
 def by_number(id_: str):
@@ -40,8 +50,8 @@ def by_number(id_: str):
     return F.pmod(F.col(id_).cast("long") * 37, F.lit(100)) / 100.0
 
 
-def trade_graph(spark: SparkSession, sf_dir: str, with_capital: bool = False) -> Graph:
-    e = trade_exposure(spark, sf_dir)
+def trade_graph(spark: SparkSession, sf_dir: str, with_capital: bool = False, top: int | None = TOP) -> Graph:
+    e = trade_exposure(spark, sf_dir, top)
     g = Graph.from_edges(e, weight="exposure")
     if not with_capital:
         return g
@@ -53,13 +63,12 @@ def most_exposed(g: Graph, k: int = 3) -> DataFrame:
     return g.edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "id").limit(k).select("id")
 
 
-def coship(spark: SparkSession, sf_dir: str) -> Graph:
-    """Suppliers that share orders, undirected; each keeps its five heaviest partners."""
+def coship(spark: SparkSession, sf_dir: str, top: int | None = TOP) -> Graph:
+    """Suppliers that share orders, undirected; each keeps its ``top`` heaviest partners, or all."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("s"), "l_extendedprice")
     a, b = l.select("l_orderkey", F.col("s").alias("src")), l.select("l_orderkey", F.col("s").alias("dst"), "l_extendedprice")
     e = a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.round(F.sum("l_extendedprice") / 1e6, 6).alias("weight"))
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst"))
-    return Graph.from_edges(e.withColumn("rn", place).where("rn <= 5").drop("rn")).undirected()
+    return Graph.from_edges(_heaviest(e, "weight", top)).undirected()
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:

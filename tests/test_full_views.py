@@ -1,0 +1,42 @@
+"""The two top-five views and their whole counterparts."""
+
+import itertools
+import math
+
+import pytest
+
+from faultline.plans import queries
+from faultline.sources import tables
+
+SUPPLIERS, NATIONS = 8, 8
+
+
+@pytest.fixture(scope="module")
+def hubs(spark, tmp_path_factory):
+    """One order holds all suppliers, every nation sells to every other: no vertex has five links only."""
+    d = str(tmp_path_factory.mktemp("hubs"))
+    pairs = list(itertools.product(range(SUPPLIERS), range(NATIONS)))
+    line = [(0, s, s, 1e6 + s, 0.0) for s in range(SUPPLIERS)] + [(1 + i, 0, s, 1e6 + i, 0.0) for i, (s, _) in enumerate(pairs)]
+    spark.createDataFrame(line, "l_orderkey long, l_linenumber long, l_suppkey long, l_extendedprice double, l_discount double").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(0, 0)] + [(1 + i, c) for i, (_, c) in enumerate(pairs)], "o_orderkey long, o_custkey long").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(c, c) for c in range(NATIONS)], "c_custkey long, c_nationkey long").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(s, s) for s in range(SUPPLIERS)], "s_suppkey long, s_nationkey long").write.parquet(f"{d}/supplier.parquet")
+    return d
+
+
+def test_full_views_keep_every_link(spark, hubs):
+    assert tables.coship(spark, hubs, None).edges.count() == SUPPLIERS * (SUPPLIERS - 1) // 2
+    assert tables.trade_exposure(spark, hubs, None).count() == NATIONS * (NATIONS - 1)
+    assert tables.trade_exposure(spark, hubs).count() == NATIONS * 5
+
+
+def test_full_queries_see_every_link(spark, hubs):
+    q = queries.queries()
+    assert {r.clustering for r in q["clustering_full"](spark, hubs).collect()} == {1.0}
+    assert {r.coreness for r in q["coreness_full"](spark, hubs).collect()} == {SUPPLIERS - 1}
+    assert {(r.in_degree, r.out_degree) for r in q["degree_metrics_full"](spark, hubs).collect()} == {(NATIONS - 1, NATIONS - 1)}
+
+
+def test_assortativity_of_equal_degrees_is_undefined(spark, hubs):
+    r = queries.queries()["assortativity_full"](spark, hubs).first()
+    assert math.isnan(r.degree_assortativity)
