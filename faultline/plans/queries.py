@@ -121,6 +121,15 @@ def systemic_importance(spark, d):
     return _r6(metrics.systemic_importance(frame, 5), "score")
 
 
+def systemic_importance_full(spark, d):
+    """By betweenness, eigenvector, pagerank and coreness of every link; ``systemic_importance`` has stand-ins, as its SQL."""
+    g = _trade(spark, d, top=None)
+    frame = g.vertices.select("id")
+    for part in (paths.betweenness(g, weighted=True), metrics.eigenvector(g, weighted=True), metrics.pagerank(g), metrics.coreness(g)):
+        frame = frame.join(part, "id", "left")
+    return _r6(metrics.systemic_importance(frame.na.fill(0), 5), "score")
+
+
 def top_influential(spark, d, top=TOP):
     m = metrics.degrees(trade_graph(spark, d, top=top)).select("id", "degree", "in_degree", "in_strength")
     return _r6(metrics.top_by_metric(m, 5).withColumn("rank", F.col("rank").cast("long")), "value")
@@ -406,7 +415,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         "edge_load_sum edge_load_last capital_buffer degree_metrics global_basic clustering transitivity assortativity components "
         "bfs_paths closeness harmonic path_length betweenness betweenness_weighted pagerank_k eigenvector_k katz_k coreness all_centralities "
-        "systemic_importance top_influential modularity communities_greedy communities_louvain communities_spectral attack_curve attack_random "
+        "systemic_importance systemic_importance_full top_influential modularity communities_greedy communities_louvain communities_spectral attack_curve attack_random "
         "fragility spectral_profile contagion_threshold contagion_legacy failures_over_time balance_sheet_cascade debtrank_k debtrank "
         "contagion_index contagion_index_undirected shock_topk survivor_subgraph pearson_graph spearman_graph partial_corr_graph "
         "spectral_learning distance_graph topk_sparsify mst pmfg granger_graph bh_adjust mi_hist mi_knn transfer_entropy layer_union "

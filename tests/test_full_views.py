@@ -40,3 +40,15 @@ def test_full_queries_see_every_link(spark, hubs):
 def test_assortativity_of_equal_degrees_is_undefined(spark, hubs):
     r = queries.queries()["assortativity_full"](spark, hubs).first()
     assert math.isnan(r.degree_assortativity)
+
+
+def test_a_bridge_of_low_degree_is_important(spark, monkeypatch):
+    """Two hubs of two triangles each, joined through one vertex of two neighbours, as few as any has."""
+    from faultline.graph import Graph
+
+    links = [(h, f"{h[0]}{i}") for h in ("l0", "r0") for i in range(1, 5)] + [(f"{s}{i}", f"{s}{i + 1}") for s in "lr" for i in (1, 3)] + [("l0", "x"), ("x", "r0")]
+    rows = [(a, b, 1.0) for a, b in links] + [(b, a, 1.0) for a, b in links]
+    g = Graph.from_edges(spark.createDataFrame(rows, "src string, dst string, weight double"))
+    monkeypatch.setattr(queries, "_trade", lambda *a, **k: queries._cached(g))
+    assert "x" not in {r.id for r in queries.systemic_importance(spark, "").collect()}
+    assert [r.id for r in queries.systemic_importance_full(spark, "").collect()][:3] == ["l0", "r0", "x"]
