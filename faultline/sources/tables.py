@@ -72,8 +72,14 @@ def coship(spark: SparkSession, sf_dir: str, top: int | None = TOP) -> Graph:
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``t, asset, r``: order totals of each nation's customers by whole month, in millions."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate < timestamp '2001-08-01'").select("o_custkey", "o_totalprice", F.date_trunc("month", "o_orderdate").alias("t"))
+    """``t, asset, r``: order totals of each nation's customers by whole month, in millions.
+
+    The month of the last order counts only if that order is of the month's last day.
+    """
+    o = table(spark, sf_dir, "orders").where("o_orderdate is not null").select("o_custkey", "o_totalprice", F.date_trunc("month", "o_orderdate").alias("t"))
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderdate").alias("__end"))
+    end = F.col("__end")
+    o = o.crossJoin(F.broadcast(last)).where((F.col("t") < F.date_trunc("month", end)) | (F.to_date(end) == F.last_day(end))).drop("__end")  # one row
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     return o.join(c, "o_custkey").groupBy("t", _nation("c_nationkey").alias("asset")).agg(F.round(F.sum("o_totalprice") / 1e6, 6).alias("r"))
 
