@@ -370,11 +370,11 @@ def ewm_corr(spark, d):
 
 
 def random_walks(spark, d, top=TOP):
-    return embedding.random_walks(coship(spark, d, top=top), 10, 2)
+    return embedding.random_walks(coship(spark, d, top=top))
 
 
 def node2vec(spark, d, top=TOP):
-    return embedding.node2vec(coship(spark, d, top=top), 8, 10, 3)
+    return embedding.node2vec(coship(spark, d, top=top))
 
 
 def node_features(spark, d, top=TOP):
@@ -387,7 +387,7 @@ def edge_index(spark, d, top=TOP):
 
 def shock_scenarios_lr(spark, d, top=TOP):
     g = _trade(spark, d, True, top=top)
-    scenarios = cut(features.shock_scenarios(g, 30))
+    scenarios = cut(features.shock_scenarios(g))
     return features.train_scenarios(g, scenarios)[1]
 
 

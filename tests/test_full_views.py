@@ -52,3 +52,20 @@ def test_a_bridge_of_low_degree_is_important(spark, monkeypatch):
     monkeypatch.setattr(queries, "_trade", lambda *a, **k: queries._cached(g))
     assert "x" not in {r.id for r in queries.systemic_importance(spark, "").collect()}
     assert [r.id for r in queries.systemic_importance_full(spark, "").collect()][:3] == ["l0", "r0", "x"]
+
+
+def test_walks_and_scenarios_have_the_operators_sizes(spark, monkeypatch):
+    from faultline.graph import Graph
+    from faultline.operators import embedding, features
+
+    g = Graph.from_edges(spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double"))
+    seen = {}
+    monkeypatch.setattr(queries, "coship", lambda *a, **k: g)
+    monkeypatch.setattr(queries, "_trade", lambda *a, **k: g)
+    monkeypatch.setattr(queries, "cut", lambda df: df)
+    monkeypatch.setattr(features, "train_scenarios", lambda g, s: (None, s, None))
+    for module, name in ((embedding, "random_walks"), (embedding, "node2vec"), (features, "shock_scenarios")):
+        monkeypatch.setattr(module, name, lambda g, *a, name=name, **k: seen.setdefault(name, (a, k)))
+    for query in (queries.random_walks, queries.node2vec, queries.shock_scenarios_lr):
+        query(spark, "")
+    assert seen == dict.fromkeys(("random_walks", "node2vec", "shock_scenarios"), ((), {}))
