@@ -9,14 +9,17 @@ over unchanged ones (tests check this), so the result equals an exhaustive compa
 
 Tokens are lower-cased runs of characters other than ASCII white space and punctuation.
 
-Defined results: items of ``SHORT`` to ``WINDOW - 1`` tokens must occur exactly and whole; shorter
-items are no evidence and match nothing; null and empty texts have no tokens; repeated rows with one
+Defined results: items of fewer than ``WINDOW`` tokens must occur whole, those of ``SHORT`` tokens or
+more with at most ``loose`` replaced (none unless asked for), shorter ones exactly; items of fewer than
+``short`` tokens match nothing (the registered query and the pipeline take ``short=1, loose=1``); null and empty texts have no tokens; repeated rows with one
 id give one result row; a null doc_id or item_id is an id like any other; extra columns are ignored;
 an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +51,11 @@ def _places(table: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, short: int = SHORT, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def _loose(n: int, loose: int) -> int:
+    return loose if n >= SHORT else 0
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, short: int = SHORT, masks: tuple[str, ...] = MASKS, loose: int = 0) -> DataFrame:
     """``doc_id, item_id, item_words, matched_words, places``: which item is in which document.
 
     ``matched_words`` is the most tokens of the item that stand at their places along one alignment,
@@ -62,11 +69,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, su
     seeds = _places(hashed.where(F.col("n") >= window), "item_id", masks)
     hits = _places(theirs, "doc_id", masks).alias("d").join(seeds.alias("i"), ["mask", "seed"])
     hits = hits.select("doc_id", "item_id", (F.col("d.at") - F.col("i.at")).alias("shift"))
-    if not hashed.where(F.col("n") < window).isEmpty():
-        whole = ("1" * short,)
-        starts = _places(hashed.where(F.col("n") < window), "item_id", whole).where("at = 0")
-        few = _places(theirs, "doc_id", whole).alias("d").join(starts.alias("i"), ["mask", "seed"])
-        hits = hits.unionByName(few.select("doc_id", "item_id", (F.col("d.at") - F.col("i.at")).alias("shift")))
+    # Short items are cut into one piece more than tokens may be replaced, so one piece is unchanged.
+    few = hashed.where(F.col("n") < window)
+    pieces: dict[int, list[tuple[int, int]]] = {}
+    for n in sorted(r.n for r in few.select("n").distinct().collect()):  # fewer than ``window`` numbers
+        cuts = [n * i // (_loose(n, loose) + 1) for i in range(_loose(n, loose) + 2)]
+        for at, end in zip(cuts, cuts[1:]):
+            pieces.setdefault(end - at, []).append((n, at))
+    for width, places in pieces.items():
+        mask = ("1" * width,)
+        parts = [_places(few.where(F.col("n") == n), "item_id", mask).where(F.col("at") == at) for n, at in places]
+        pieces_of_width = reduce(DataFrame.unionByName, parts)
+        short_hits = _places(theirs, "doc_id", mask).alias("d").join(pieces_of_width.alias("i"), ["mask", "seed"])
+        hits = hits.unionByName(short_hits.select("doc_id", "item_id", (F.col("d.at") - F.col("i.at")).alias("shift")))
     hits = hits.distinct()
 
     laid = words.alias("w").join(hits.alias("h"), F.expr("w.doc_id <=> h.doc_id")).select("h.doc_id", "h.item_id", "h.shift", "w.words")
@@ -74,7 +89,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, su
     same = F.transform("item", lambda w, j: F.coalesce((F.when(F.col("shift") + j >= 0, F.get("words", F.col("shift") + j)) == w).cast("int"), F.when((F.col("shift") + j < 0) | (F.col("shift") + j >= F.size("words")), F.lit(-window)).otherwise(F.lit(0))))
     laid = laid.select("doc_id", "item_id", "shift", F.size("item").alias("item_words"), same.alias("same"))
     span = F.least(F.col("item_words"), F.lit(window))
-    needed = F.when(F.col("item_words") >= window, F.lit(window - substitutions)).otherwise(F.col("item_words"))
+    needed = F.when(F.col("item_words") >= window, F.lit(window - substitutions)).when(F.col("item_words") >= SHORT, F.col("item_words") - loose).otherwise(F.col("item_words"))
     fits = F.exists(F.sequence(F.lit(1), F.col("item_words") - span + 1), lambda s: F.aggregate(F.slice("same", s, span), F.lit(0), lambda a, x: a + x) >= needed)
     matched = F.aggregate("same", F.lit(0), lambda a, x: a + F.greatest(x, F.lit(0)))
     found = laid.where(fits).select("doc_id", "item_id", "shift", "item_words", matched.alias("matched")).distinct()
