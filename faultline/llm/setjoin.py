@@ -312,9 +312,8 @@ def _across(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
-    docs, _ = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "join-docs")
+def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``__key, doc_id, size, comp`` of every row of keyed documents; no ``comp`` where there are no words."""
     sets = materialize(_sets(docs, n), "join-nodes")
     # A node is a set hash; a representative is the least row of a set (two sets with one hash differ in ``twin``).
     reps = sets.where("size > 0").groupBy("node", "twin").agg(F.min("__key").alias("rep"), F.max("size").alias("size"), *[F.max(k).alias(k) for k in SKETCH])
@@ -358,18 +357,25 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
             break
 
     named = reps.join(labels, reps["rep"] == labels["v"], "left").select("node", "twin", F.coalesce("label", "rep").alias("comp"))
-    placed = sets.join(named, ["node", "twin"], "left")
+    return sets.join(named, ["node", "twin"], "left").select("__key", "doc_id", "size", "comp")
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document."""
+    docs, _ = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "join-docs")
+    placed = _placed(docs, n, num, den)
     least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     placed = placed.join(least, "comp", "left")
     return placed.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without those that are linked to one of smaller id.
+    """Of each component the row of least id, or one of them where rows share it; no id counts as the greatest.
 
-    Documents with no words are not linked with anything and all stay; so do rows without an id, and
-    rows that repeat an id that stays.
+    Documents with no words are not linked with anything and all stay.
     """
-    found = jaccard_components(docs, n, num, den)
-    drop = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["__drop"], "left_anti")
+    keys, _ = keyed(docs, "join-docs")
+    placed = _placed(keys.select("__key", F.col("doc_id").cast("long").alias("doc_id"), "text"), n, num, den).where("comp is not null")
+    kept = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("kept")).select("comp", F.col("kept.__key").alias("kept"))
+    drop = placed.join(kept, "comp").where("__key <> kept").select(F.col("__key").alias("__drop"))
+    return keys.join(drop, keys["__key"] == drop["__drop"], "left_anti").select(*docs.columns)
