@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..graph import Graph
-from ..plans.iterate import cut
+from ..plans.iterate import cut, least_reachable
 
 
 def bfs(g: Graph, roots: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
@@ -32,20 +32,9 @@ def reachable(g: Graph) -> DataFrame:
 
 
 def components(g: Graph) -> DataFrame:
-    """``id, component`` (the least id of it), ignoring directions: hooking to the least neighbour and pointer jumping."""
-    edges = cut(g.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
-    labels = g.vertices.select("id", F.col("id").alias("component"))
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("u"), F.least("a", "b").alias("p")))
-        for _ in range(2):
-            to = to.alias("x").join(to.alias("y"), F.expr("x.p = y.u")).select("x.u", "y.p")
-        to = cut(to)
-        labels = cut(labels.join(to, labels["component"] == to["u"], "left").select("id", F.coalesce("p", "component").alias("component")))
-        near = edges.join(to, edges["a"] == to["u"]).select(F.col("p").alias("a"), "b")
-        near = near.join(to, near["b"] == to["u"]).select("a", F.col("p").alias("b"))
-        edges = cut(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return labels
+    """``id, component`` (the least id of it), ignoring directions."""
+    labels = least_reachable(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return g.vertices.select("id").join(labels, F.col("id") == F.col("v"), "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
 def closeness(g: Graph, distances: DataFrame | None = None) -> DataFrame:
