@@ -42,6 +42,17 @@ def correlation_p(r: float, n: int) -> float:
     return beta_tail((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
 
 
+def critical_correlation(n: int, p: float) -> float:
+    """The least |r| of ``n`` pairs whose p-value is at most ``p``; above 1 if there is none."""
+    if n <= 2:
+        return 2.0
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if correlation_p(mid, n) <= p else (mid, hi)
+    return hi
+
+
 def f_tail(f: float, d1: int, d2: int) -> float:
     """P(F > f)."""
     if math.isnan(f) or d2 <= 0:

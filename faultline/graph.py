@@ -23,6 +23,19 @@ def with_ordinals(df: DataFrame, *order: str, name: str = "ord") -> DataFrame:
     return placed.withColumn("__part", part).join(offsets, "__part").withColumn(name, F.col("__before") + inside).drop("__part", "__before", "__at")
 
 
+def in_blocks(df: DataFrame, back: int, size: int = 20_000) -> DataFrame:
+    """Numbered rows dealt to blocks of consecutive ones, each after the last ``back`` of the block before.
+
+    Adds ``block`` and ``halo`` (a row that is only there for others to look back at), so that windows
+    over a whole order run in many tasks.
+    """
+    size = max(size, 4 * back + 1)
+    own = F.floor(F.col("ord") / size).cast("long")
+    late = F.pmod(F.col("ord"), F.lit(size)) >= size - back
+    spread = F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))
+    return df.withColumn("block", spread).withColumn("halo", F.col("block") != F.floor(F.col("ord") / size))
+
+
 @dataclass(frozen=True)
 class Graph:
     """A directed graph, or an undirected one whose edges are canonical (``src <= dst``)."""

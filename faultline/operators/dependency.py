@@ -13,27 +13,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import kernels, stats
-from ..graph import Graph
+from ..graph import Graph, with_ordinals
 from ..plans.iterate import cut
 from ..sources.returns import clean, listwise, pairs
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; null where a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 @F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([stats.correlation_p(float(a), int(b)) if a == a else float("nan") for a, b in zip(r, n)])
 
 
 def _keep(corr: DataFrame, threshold: float, p_cutoff: float | None, min_periods: int) -> DataFrame:
+    """Edges of enough, strong and significant correlations.
+
+    The p cut-off is a least |r| for each number of observations (there are few), so the filter runs in
+    the JVM; p itself is computed for the edges that stay.
+    """
     kept = corr.where(f"n_obs >= {int(min_periods)} and r is not null and not isnan(r)").where(F.abs("r") >= threshold)
-    kept = kept.withColumn("p", correlation_p("r", "n_obs"))
     if p_cutoff is not None:
-        kept = kept.where(F.col("p") <= p_cutoff)
+        kept = cut(kept)
+        sizes = [row[0] for row in kept.select("n_obs").distinct().collect()]  # no more than there are times
+        least = kept.sparkSession.createDataFrame([(n, stats.critical_correlation(n, p_cutoff)) for n in sizes], "n_obs long, __least double")
+        kept = kept.join(F.broadcast(least), "n_obs").where(F.abs("r") >= F.col("__least")).drop("__least")
+    kept = kept.withColumn("p", correlation_p("r", "n_obs"))
     return kept.select("a", "b", F.bround("r", 6).alias("weight"), F.bround("p", 6).alias("p_value"), "n_obs")
 
 
 def correlations(returns: DataFrame, *group: str) -> DataFrame:
     """``a, b, r, n_obs`` of every pair with a time in common."""
-    return pairs(returns, False, *group).groupBy(*group, "a", "b").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n_obs"))
+    return pairs(returns, False, *group).groupBy(*group, "a", "b").agg(correlation("x", "y").alias("r"), F.count(F.lit(1)).alias("n_obs"))
 
 
 def pearson_graph(returns: DataFrame, threshold: float = 0.3, p_cutoff: float | None = 0.05, min_periods: int = 30) -> DataFrame:
@@ -47,7 +60,7 @@ def rank_correlations(returns: DataFrame) -> DataFrame:
         low = F.rank().over(Window.partitionBy("a", "b").orderBy(side))
         ties = F.count(F.lit(1)).over(Window.partitionBy("a", "b", side))
         p = p.withColumn(f"r{side}", low + (ties - 1) / 2)
-    return p.groupBy("a", "b").agg(F.corr("rx", "ry").alias("r"), F.count(F.lit(1)).alias("n_obs"))
+    return p.groupBy("a", "b").agg(correlation("rx", "ry").alias("r"), F.count(F.lit(1)).alias("n_obs"))
 
 
 def spearman_graph(returns: DataFrame, threshold: float = 0.3, p_cutoff: float | None = 0.05, min_periods: int = 30) -> DataFrame:
@@ -72,22 +85,23 @@ def partial_correlation_graph(returns: DataFrame, threshold: float = 0.15, metho
 
     def run(panel: pd.DataFrame) -> list[tuple]:
         x = panel.to_numpy()
-        p = stats.graphical_lasso_cv(x - x.mean(0)) if method == "glasso" else np.linalg.inv(stats.ledoit_wolf(x))
+        try:
+            p = stats.graphical_lasso_cv(x - x.mean(0)) if method == "glasso" else np.linalg.inv(stats.ledoit_wolf(x))
+        except np.linalg.LinAlgError:
+            return [(None, None, None, True)]
         d = np.sqrt(np.diag(p))
         names = list(panel.columns)
         rho = -p / np.outer(d, d)
         if not np.isfinite(rho).all():
-            raise np.linalg.LinAlgError("no usable precision matrix")
+            return [(None, None, None, True)]
         pairs_ = [(names[i], names[j], float(rho[i, j])) for i in range(len(names)) for j in range(i + 1, len(names))]
-        return [(min(a, b), max(a, b), round(r, 6)) for a, b, r in pairs_ if abs(r) >= threshold]
+        return [(min(a, b), max(a, b), round(r, 6), False) for a, b, r in pairs_ if abs(r) >= threshold]
 
     whole = listwise(clean(returns))
-    try:
-        return cut(_dense(whole, run, "a string, b string, weight double"))
-    except Exception as e:  # the kernel's failure, not a missing column
-        if "LinAlgError" not in str(e):
-            raise
+    found = cut(_dense(whole, run, "a string, b string, weight double, failed boolean"))
+    if not found.where("failed").isEmpty():
         return pearson_graph(returns, threshold).select("a", "b", "weight")
+    return found.where("not failed").select("a", "b", "weight")
 
 
 def spectral_graph_learning(returns: DataFrame, beta: float = 0.1) -> DataFrame:
@@ -147,11 +161,20 @@ def correlation_suite(returns: DataFrame, threshold: float = 0.3) -> dict[str, D
 # --- causality --------------------------------------------------------------------------------
 
 def bh_adjust(tests: DataFrame, p: str = "p_value", monotone: bool = False) -> DataFrame:
-    """p * m / rank, capped at 1; ``monotone`` adds the step-up minimum."""
-    order = Window.orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    adj = tests.withColumn("p_adj", F.least(F.lit(1.0), F.col(p) * m / F.row_number().over(order)))
-    return adj.withColumn("p_adj", F.min("p_adj").over(Window.orderBy(F.col(p).desc()))) if monotone else adj
+    """p * m / rank, capped at 1; ``monotone`` adds the step-up minimum.
+
+    Ranks are places among range partitions, the minimum runs over blocks of ranks and then inside them.
+    """
+    placed = cut(with_ordinals(tests, p))
+    m = placed.count()
+    adj = placed.withColumn("p_adj", F.least(F.lit(1.0), F.col(p) * m / (F.col("ord") + 1)))
+    if not monotone:
+        return adj.drop("ord")
+    adj = adj.withColumn("__block", F.floor(F.col("ord") / 20_000))
+    after = F.min("least").over(Window.orderBy(F.col("__block").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = adj.groupBy("__block").agg(F.min("p_adj").alias("least")).select("__block", after.alias("__after"))  # one row in 20,000
+    inside = F.min("p_adj").over(Window.partitionBy("__block").orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    return adj.withColumn("__inside", inside).join(blocks, "__block").withColumn("p_adj", F.least("__inside", "__after")).drop("ord", "__block", "__inside", "__after")
 
 
 def granger_tests(returns: DataFrame, max_lag: int = 5, stationarize: bool = True, min_periods: int = 60, compat_direction: bool = False) -> DataFrame:

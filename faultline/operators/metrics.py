@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.iterate import cut
+from ..plans.iterate import cut, discard
 
 
 def degrees(g: Graph) -> DataFrame:
@@ -65,10 +65,12 @@ def assortativity(g: Graph) -> DataFrame:
 def _power(g: Graph, arcs: DataFrame, update: Column, start: Column, rounds: int, tol: float | None, norm: bool) -> DataFrame:
     """Iterate ``x <- update(x, s, n)`` with ``s`` the weighted sum over incoming arcs; optionally L2-normed."""
     n = g.vertices.count()
-    x = cut(g.vertices.select("id", start.alias("x")))
+    x = held = cut(g.vertices.select("id", start.alias("x")))
     for _ in range(rounds):
         s = arcs.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("weight")).alias("s"))
         y = cut(x.join(s, "id", "left").select("id", "x", F.coalesce("s", F.lit(0.0)).alias("s")).select("id", "x", update.alias("y")))
+        discard(held)
+        held = y
         size = (y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0) if norm else 1.0
         new = F.col("y") / F.lit(size)
         done = tol is not None and (y.agg(F.sum(F.abs(new - F.col("x")))).first()[0] or 0.0) < n * tol
@@ -94,14 +96,17 @@ def pagerank(g: Graph, alpha: float = 0.85, rounds: int = 100, tol: float | None
     out = arcs.groupBy("src").agg(F.sum("weight").alias("total"))
     w = cut(arcs.join(out, "src").where("total > 0").select("src", "dst", (F.col("weight") / F.col("total")).alias("weight")))
     dangling = cut(g.vertices.select("id").join(w.select(F.col("src").alias("id")), "id", "left_anti"))
-    x = cut(g.vertices.select("id", F.lit(1.0 / max(1, n)).alias("x")))
+    x = held = cut(g.vertices.select("id", F.lit(1.0 / max(1, n)).alias("x")))
+    lost = x.join(dangling, "id", "left_semi").agg(F.sum("x")).first()[0] or 0.0
     for _ in range(rounds):
-        lost = x.join(dangling, "id", "left_semi").agg(F.sum("x")).first()[0] or 0.0
         s = w.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("weight")).alias("s"))
         y = cut(x.join(s, "id", "left").select("id", "x", (F.lit(alpha) * (F.coalesce("s", F.lit(0.0)) + F.lit(lost / n)) + F.lit((1 - alpha) / n)).alias("y")))
-        done = tol is not None and y.agg(F.sum(F.abs(F.col("y") - F.col("x")))).first()[0] < n * tol
+        discard(held)
+        held = y
+        told = y.join(dangling.withColumn("__ends", F.lit(True)), "id", "left").agg(F.sum(F.abs(F.col("y") - F.col("x"))).alias("moved"), F.sum(F.when(F.col("__ends"), F.col("y"))).alias("lost")).first()
+        lost = told.lost or 0.0
         x = y.select("id", F.col("y").alias("x"))
-        if done:
+        if tol is not None and (told.moved or 0.0) < n * tol:
             break
     return x.select("id", F.col("x").alias("pagerank"))
 

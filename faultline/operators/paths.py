@@ -67,11 +67,54 @@ def path_lengths(g: Graph) -> DataFrame:
 
 
 def betweenness(g: Graph, weighted: bool = False) -> DataFrame:
-    """Normalised over ordered pairs; weights are lengths, and any negative one makes all values 0."""
+    """Normalised over ordered pairs; weights are lengths, and any negative one makes all values 0.
+
+    Up to ``kernels.MAX_EDGES`` arcs every task gets the adjacency; beyond, unweighted values come from joins.
+    """
     n = g.vertices.count()
     if weighted and not g.edges.where("weight < 0").isEmpty():
         return g.vertices.select("id", F.lit(0.0).alias("betweenness"))
+    if not weighted and g.edges.count() * (1 if g.directed else 2) > kernels.MAX_EDGES:
+        return betweenness_by_joins(g)
     part = kernels.per_vertex(g, lambda v, adj: list(kernels.dependencies(v, adj, weighted).items()), "id string, share double")
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     total = part.groupBy("id").agg((F.sum("share") * scale).alias("betweenness"))
     return g.vertices.select(F.col("id").cast("string").alias("id")).join(total, "id", "left").na.fill(0.0)
+
+
+def betweenness_by_joins(g: Graph, pairs: int = 1_000_000_000) -> DataFrame:
+    """Unweighted betweenness for graphs of any size: frontiers out from a batch of roots, dependencies back.
+
+    A batch has as many roots as keep its (root, vertex) pairs below ``pairs``; nothing but joins and
+    sums by (root, vertex), so no task holds the graph.
+    """
+    n = g.vertices.count()
+    arcs = cut(g.arcs().where("src <> dst").select("src", "dst").distinct())
+    batches = max(1, -(-n * n // pairs))
+    total = None
+    for b in range(batches):
+        roots = g.vertices.select("id").where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b)
+        levels = [cut(roots.select(F.col("id").alias("root"), "id", F.lit(1.0).alias("ways")))]
+        seen = levels[0].select("root", "id")
+        while True:
+            front = levels[-1].select("root", F.col("id").alias("src"), "ways").join(arcs, "src").groupBy("root", F.col("dst").alias("id")).agg(F.sum("ways").alias("ways"))
+            front = cut(front.join(seen, ["root", "id"], "left_anti"))
+            if front.isEmpty():
+                break
+            levels.append(front)
+            seen = seen.unionByName(front.select("root", "id"))
+        owed = levels[-1].withColumn("owed", F.lit(0.0))
+        for level in reversed(levels[:-1]):
+            back = owed.select("root", F.col("id").alias("dst"), ((1 + F.col("owed")) / F.col("ways")).alias("each")).join(arcs, "dst").groupBy("root", F.col("src").alias("id")).agg(F.sum("each").alias("each"))
+            if level is not levels[0]:
+                part = owed.groupBy("id").agg(F.sum("owed").alias("share"))
+                total = part if total is None else total.unionByName(part)
+                owed = cut(level.join(back, ["root", "id"], "left").select("root", "id", "ways", (F.col("ways") * F.coalesce("each", F.lit(0.0))).alias("owed")))
+            elif len(levels) > 1:
+                part = owed.groupBy("id").agg(F.sum("owed").alias("share"))
+                total = part if total is None else total.unionByName(part)
+    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    ids = g.vertices.select(F.col("id").cast("string").alias("id"))
+    if total is None:
+        return ids.withColumn("betweenness", F.lit(0.0))
+    return ids.join(total.groupBy("id").agg((F.sum("share") * scale).alias("betweenness")), "id", "left").na.fill(0.0)

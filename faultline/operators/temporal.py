@@ -11,9 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph, with_ordinals
+from ..graph import Graph, in_blocks, with_ordinals
 from ..plans.iterate import cut
 from ..sources.returns import clean, listwise, pairs
+from .dependency import correlation
 
 
 def row_times(returns: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def _snapshots(rows: DataFrame, threshold: float, min_obs: int, builder: Callabl
             return e.assign(snap_id=key[0])[["snap_id", "a", "b", "weight"]]
 
         return whole.groupBy("snap_id").applyInPandas(run, "snap_id long, a string, b string, weight double")
-    r = pairs(whole, False, "snap_id").groupBy("snap_id", "a", "b").agg(F.corr("x", "y").alias("r"))
+    r = pairs(whole, False, "snap_id").groupBy("snap_id", "a", "b").agg(correlation("x", "y").alias("r"))
     return r.where("r is not null and not isnan(r)").where(F.abs("r") >= threshold).select("snap_id", "a", "b", F.bround("r", 6).alias("weight"))
 
 
@@ -95,10 +96,12 @@ def evolution(snaps: DataFrame, edges: DataFrame, assets: DataFrame) -> DataFram
 
 def z_scores(series: DataFrame, column: str, window: int = 10, least: int = 3) -> DataFrame:
     """``ts, value, z`` against the mean and sample deviation of the last ``window`` rows, this one included."""
-    w = Window.orderBy("ts").rowsBetween(1 - window, 0)
     s = series.where(F.col(column).isNotNull()).select("ts", F.col(column).cast("double").alias("value"))
+    s = in_blocks(with_ordinals(s, "ts"), window - 1)
+    w = Window.partitionBy("block").orderBy("ord").rowsBetween(1 - window, 0)
     z = (F.col("value") - F.avg("value").over(w)) / (F.stddev_samp("value").over(w) + 1e-9)
-    return s.withColumn("z", F.when(F.count("value").over(w) >= least, z))
+    s = s.withColumn("z", F.when(F.count("value").over(w) >= least, z))
+    return s.where("not halo").select("ts", "value", "z")
 
 
 def structural_breaks(series: DataFrame, column: str = "density", z_threshold: float = 2.5) -> DataFrame:

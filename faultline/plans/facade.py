@@ -43,6 +43,33 @@ def global_metrics(g: Graph) -> DataFrame:
     return base
 
 
+def node_bundle(g: Graph) -> DataFrame:
+    """``node`` and title-case degree, betweenness, eigenvector and clustering, as older reports have them."""
+    out = metrics.degrees(g).select("id", "degree")
+    for part in (paths.betweenness(g), metrics.eigenvector(g, rounds=1000), metrics.clustering(g)):
+        out = out.join(part, "id", "left")
+    return out.na.fill(0).select(F.col("id").alias("Node"), F.col("degree").alias("Degree"), F.col("betweenness").alias("Betweenness"), F.col("eigenvector").alias("Eigenvector"), F.col("clustering").alias("Clustering"))
+
+
+def global_bundle(g: Graph) -> DataFrame:
+    """One row of the undirected graph: sizes (edges as given), density, clustering, path length (null unless connected)."""
+    u = g.undirected()
+    base = metrics.global_basic(u).select(F.col("n_nodes").alias("num_nodes"), "density")
+    edges = g.edges.agg(F.count(F.lit(1)).alias("num_edges"))
+    near = metrics.clustering(u).agg(F.avg("clustering").alias("avg_clustering"))
+    far = paths.path_lengths(u).select(F.when((F.col("n_components") == 1) & (F.col("avg_path_length").isNotNull()), F.col("avg_path_length")).alias("avg_shortest_path_length"))
+    for part in (edges, near, far):
+        base = base.crossJoin(F.broadcast(part))  # one row each
+    return base.select("num_nodes", "num_edges", "density", "avg_clustering", "avg_shortest_path_length")
+
+
+def headline_bundle(g: Graph) -> DataFrame:
+    """One row with the headings of older reports; density and degree of the directed graph."""
+    base = metrics.global_basic(g)
+    near = metrics.clustering(g).agg(F.avg("clustering").alias("near"))
+    return base.crossJoin(F.broadcast(near)).select(F.col("n_nodes").alias("Number of Banks"), F.col("n_edges").alias("Number of Exposures"), F.col("density").alias("Density"), F.col("avg_degree").alias("Average Degree"), F.col("near").alias("Average Clustering"))  # one row
+
+
 def network_report(g: Graph, top_n: int = 5) -> Report:
     g = Graph(cut(g.vertices), cut(g.edges), g.directed)
     central = cut(features.centralities(g))
@@ -86,7 +113,7 @@ class GraphInterface:
         c = self.config
         suite = dependency.correlation_suite(self.returns, c.corr_threshold) | dependency.causality_suite(self.returns, c.granger_alpha, c.mi_threshold, c.te_threshold)
         m = multilayer.Multiplex.from_suite(suite)
-        self.multiplex = multilayer.Multiplex(m.layers, self.returns.select(F.col("asset").alias("id")).distinct())
+        self.multiplex = multilayer.Multiplex(m.layers, self.returns.select(F.col("asset").alias("id")).distinct(), m.names)
         fused = {"fused_eigen": multilayer.fuse_eigenvalue(self.multiplex, c.fusion_threshold), "fused_intersect": multilayer.fuse_intersection(self.multiplex, c.min_agreement)}
         out = self.multiplex.layers
         for name, e in fused.items():
@@ -103,8 +130,10 @@ class GraphInterface:
     def graph(self, name: str = "fused_eigen") -> Graph:
         e = self.layers.where(F.col("layer") == name)
         first = e.select("directed").first()
-        if first is None and name not in ("fused_eigen", "fused_intersect") and self.multiplex.layer_names().where(F.col("layer") == name).isEmpty():
-            raise KeyError(name)
+        if first is None and name not in ("fused_eigen", "fused_intersect"):
+            first = self.multiplex.known().where(F.col("layer") == name).select("directed").first()
+            if first is None:
+                raise KeyError(name)
         return Graph(self.multiplex.vertices, e.select("src", "dst", "weight"), bool(first and first[0]))
 
     def temporal(self, window: int | None = None, step: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +170,10 @@ class GraphInterface:
         return features.with_external(base, self.external if external else None)
 
     def summary(self) -> DataFrame:
-        return multilayer.layer_summary(multilayer.Multiplex(self.layers, self.multiplex.vertices))
+        """One row a layer, the fused ones and those without edges included."""
+        layers, spark = self.layers, self.returns.sparkSession
+        fused = spark.createDataFrame([("fused_eigen", False), ("fused_intersect", False)], "layer string, directed boolean")
+        return multilayer.layer_summary(multilayer.Multiplex(layers, self.multiplex.vertices, self.multiplex.known().unionByName(fused)))
 
 
 def graph_interface(returns: DataFrame, external: DataFrame | None = None, **overrides) -> GraphInterface:

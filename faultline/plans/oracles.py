@@ -5,23 +5,25 @@ Loops are unrolled into chains of common table expressions or bounded recursion.
 
 from __future__ import annotations
 
+from ..functions.stats import critical_correlation
+
 RAW = """raw as (
   select lpad(cast(s_nationkey as varchar), 2, '0') as src, lpad(cast(c_nationkey as varchar), 2, '0') as dst,
          l_extendedprice * (1 - l_discount) as v, l_orderkey, l_linenumber
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey)"""
-TRADE = RAW + """,
-te0 as (select src, dst, round(sum(v) / 1e6, 6) as w from raw where src <> dst group by src, dst),
-te as materialized (select src, dst, w from (select *, row_number() over (partition by src order by w desc, dst) as rn from te0) where rn <= 5),
+#: The delivery network: each supplier is exposed to the next of the same part on the same day.
+TRADE = """lines as (
+  select lpad(cast(l_suppkey as varchar), 8, '0') as dst, l_extendedprice as v,
+         lag(lpad(cast(l_suppkey as varchar), 8, '0')) over (partition by l_partkey, cast(l_shipdate as date) order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as src
+  from lineitem),
+te as materialized (select src, dst, round(sum(v) / 1e4, 6) as w from lines where src is not null and src <> dst group by src, dst),
 tv as materialized (select src as id from te union select dst from te)"""
 UND = """,
 und as materialized (select least(src, dst) as a, greatest(src, dst) as b, arg_max(w, src) as w from te group by 1, 2),
 arcs as materialized (select a as src, b as dst, w from und union all select b, a, w from und where a <> b)"""
 SEEDS = """,
 seeds as materialized (select dst as id from (select dst, count(*) as n from te group by dst order by n desc, dst limit 3))"""
-COSHIP = """l as (select l_orderkey, lpad(cast(l_suppkey as varchar), 8, '0') as s, l_extendedprice as p from lineitem),
-te0 as (select a.s as src, b.s as dst, round(sum(b.p) / 1e6, 6) as w from l a join l b using (l_orderkey) where a.s <> b.s group by 1, 2),
-te as materialized (select src, dst, w from (select *, row_number() over (partition by src order by w desc, dst) as rn from te0) where rn <= 5),
-tv as materialized (select src as id from te union select dst from te)""" + UND
+COSHIP = TRADE + UND
 MONTHLY = """ret as materialized (
   select date_trunc('month', o_orderdate) as t, lpad(cast(c_nationkey as varchar), 2, '0') as asset, round(sum(o_totalprice) / 1e6, 6) as r
   from orders join customer on o_custkey = c_custkey where o_orderdate < timestamp '2001-08-01' group by 1, 2)"""
@@ -108,6 +110,9 @@ wn as materialized (select te.src, te.dst, te.w / o.total as w from te join (sel
     5,
 ) + " select id, round(h, 6) as h from x5"
 
+#: Rounds that loops are unrolled to; more than any needs at the scales the SQL is run at.
+DEPTH, SPREAD = 20, 20
+
 DEGREES = """deg as (select tv.id, coalesce(o.n, 0)::bigint as out_degree, coalesce(i.n, 0)::bigint as in_degree, coalesce(o.s, 0.0) as out_strength, coalesce(i.s, 0.0) as in_strength
   from tv left join (select src as id, count(*) as n, sum(w) as s from te group by 1) o using (id) left join (select dst as id, count(*) as n, sum(w) as s from te group by 1) i using (id)),
 nn as (select count(*)::double as n from tv)"""
@@ -132,6 +137,22 @@ Z = """s as (select date_trunc('day', ts) as ts, count(*)::double as value from
 z as (select ts, value, case when count(*) over w >= 3 then (value - avg(value) over w) / (coalesce(stddev_samp(value) over w, 0) + 1e-9) end as z from s window w as (order by ts rows between 9 preceding and current row))"""
 
 
+def _between(depth: int) -> str:
+    """``b(v, s)``: dependencies on each vertex, from distances ``dist`` and the numbers of shortest paths."""
+    counts = [f"s{k} as materialized (select s.root, a.dst as id, sum(s.c) as c from s{k - 1} s join arcs a on a.src = s.id join dm on dm.root = s.root and dm.id = a.dst and dm.d = {k} group by 1, 2)" for k in range(1, depth + 1)]
+    together = " union all ".join(f"select * from s{k}" for k in range(depth + 1))
+    return ",\n".join(["dm as materialized (select * from dist)", "s0 as materialized (select id as root, id, 1.0::double as c from tv)", *counts, f"sg as materialized ({together})"]) + """,
+ds as materialized (select dm.root, dm.id, dm.d, sg.c from dm join sg using (root, id)),
+b as (select x.id as v, sum(x.c * y.c / st.c) as s from ds st join ds x on x.root = st.root join ds y on y.root = x.id and y.id = st.id where st.d > 0 and x.id <> st.root and x.id <> st.id and x.d + y.d = st.d group by 1)"""
+
+
+CORENESS = "with " + TRADE + UND + ",\nnear as materialized (select src as id, dst as other from arcs where src <> dst),\n" + _chain(
+    "select tv.id, count(n.other) as x from tv left join near n using (id) group by 1",
+    "select p.id, least(p.x, coalesce(h.h, 0)) as x from {p} p left join (select id, max(least(x, k)) as h from (select n.id, q.x, row_number() over (partition by n.id order by q.x desc) as k from near n join {p} q on q.id = n.other) group by 1) h using (id)",
+    DEPTH,
+)
+
+
 def _mst() -> str:
     return "with recursive " + MONTHLY_EDGES + f""",
 ranked as materialized (select a as src, b as dst, {DISTANCE} as distance, row_number() over (order by {DISTANCE}, a, b) as k from me),
@@ -140,18 +161,24 @@ reach as (select k as e, src as id from ranked union select r.e, b.dst from reac
 select src, dst, distance from ranked where not exists (select 1 from reach where reach.e = ranked.k and reach.id = ranked.dst)"""
 
 
-def _attack() -> str:
-    return "with recursive " + TRADE + UND + """,
+def _attack(order: str = "select 1 as trial, id, row_number() over (order by k desc, id) as rank from ud") -> str:
+    """The removal curve, averaged over the trials of ``order(trial, id, rank)``."""
+    return "with recursive " + TRADE + UND + f""",
 ud as (select tv.id, coalesce(count(a.src), 0) as k from tv left join arcs a on a.src = tv.id group by 1),
-ord as materialized (select id, row_number() over (order by k desc, id) as rank from ud),
+ord as materialized ({order}),
 nv as (select count(*) as n from tv),
-e as materialized (select least(x.rank, y.rank) as lo, greatest(x.rank, y.rank) as hi from und join ord x on x.id = und.a join ord y on y.id = und.b),
-two as materialized (select lo as s, hi as t, lo as low from e union all select hi, lo, lo from e),
-reach as (select c.k as cut, o.rank as root, o.rank as id from range(1, 26) c(k), ord o where o.rank > c.k union select r.cut, r.root, two.t from reach r join two on two.s = r.id and two.low > r.cut),
-sizes as (select cut, root, count(*) as n from reach group by 1, 2),
-best as (select cut, max(n) as n from sizes group by 1)
-select round(c.rank::double / nv.n, 4) as fraction_removed, round(coalesce(best.n, 0)::double / nv.n, 6) as lcc, (select count(*) from e where e.lo > c.rank)::double as edges
-from ord c cross join nv left join best on best.cut = c.rank"""
+e as materialized (select x.trial, least(x.rank, y.rank) as lo, greatest(x.rank, y.rank) as hi from und join ord x on x.id = und.a join ord y on y.id = und.b and y.trial = x.trial),
+two as materialized (select trial, lo as s, hi as t, lo as low from e union all select trial, hi, lo, lo from e),
+reach as (select c.trial, c.rank as cut, o.rank as root, o.rank as id from ord c join ord o on o.trial = c.trial and o.rank > c.rank
+  union select r.trial, r.cut, r.root, two.t from reach r join two on two.trial = r.trial and two.s = r.id and two.low > r.cut),
+sizes as (select trial, cut, root, count(*) as n from reach group by 1, 2, 3),
+best as (select trial, cut, max(n) as n from sizes group by 1, 2),
+edges_left as (select c.trial, c.rank as cut, count(e.lo) as m from ord c left join e on e.trial = c.trial and e.lo > c.rank group by 1, 2)
+select round(c.rank::double / any_value(nv.n), 4) as fraction_removed, round(avg(coalesce(best.n, 0)::double / nv.n), 6) as lcc, round(avg(m), 6) as edges
+from ord c cross join nv join edges_left l on l.trial = c.trial and l.cut = c.rank left join best on best.trial = c.trial and best.cut = c.rank group by c.rank"""
+
+
+RANDOM_ORDER = "select trial, id, row_number() over (partition by trial order by md5('42|' || trial || '|' || id) desc, id) as rank from tv, range(1, 6) t(trial)"
 
 
 def _fragility() -> str:
@@ -171,34 +198,31 @@ def oracle_sql() -> dict[str, str]:
     o["transitivity"] = f"with {COSHIP}, {TRIANGLES} select round((select sum(t) from tri) / (select sum(k * (k - 1) / 2.0) from ud), 6) as transitivity"
     o["assortativity"] = f"with {COSHIP}, ud as (select src as id, count(*)::double as k from arcs group by 1) select round(corr(x.k, y.k), 6) as degree_assortativity from arcs join ud x on x.id = arcs.src join ud y on y.id = arcs.dst"
     o["components"] = "with recursive " + COSHIP + ", reach as (select id as root, id from tv union select r.root, a.dst from reach r join arcs a on a.src = r.id) select root as id, min(id) as component from reach group by 1"
-    bfs = "with " + TRADE + ",\n" + _bfs("te", "tv", 8)
+    bfs = "with " + TRADE + ",\n" + _bfs("te", "tv", DEPTH)
     o["bfs_paths"] = bfs + " select root, id, d::bigint as dist from dist"
     o["closeness"] = bfs + " select tv.id, round(coalesce((count(d.d) / sum(d.d)::double) * (count(d.d) / ((select count(*) from tv) - 1)::double), 0.0), 6) as closeness from tv left join (select * from dist where d > 0) d on d.id = tv.id group by 1"
     o["harmonic"] = bfs + " select tv.id, round(coalesce(sum(1.0 / d.d), 0.0), 6) as harmonic from tv left join (select * from dist where d > 0) d on d.id = tv.id group by 1"
-    und_bfs = "with " + TRADE + UND + ",\n" + _bfs("arcs", "tv", 8)
+    und_bfs = "with " + TRADE + UND + ",\n" + _bfs("arcs", "tv", DEPTH)
     o["path_length"] = und_bfs + """,
 comp as (select root as id, min(id) as c from dist group by 1), sz as (select c, count(*) as n from comp group by 1), big as (select c, n from sz order by n desc, c limit 1),
 dd as (select d.d from dist d join comp on comp.id = d.root join big on big.c = comp.c where d.d > 0)
 select (select count(*) from sz)::bigint as n_components, round((select n from big)::double / (select count(*) from tv), 6) as lcc_fraction, (select max(d) from dd)::bigint as diameter, round((select avg(d) from dd), 6) as avg_path_length"""
     o["pagerank_k"], o["eigenvector_k"], o["katz_k"], o["debtrank_k"] = PAGERANK, EIGENVECTOR, KATZ, DEBTRANK
-    o["systemic_importance"] = f"""with {TRADE}, {DEGREES}, m as (select id, (in_degree + out_degree)::double as b, in_strength as p from deg),
-s as (select id, (case when max(b) over () > min(b) over () then (b - min(b) over ()) / (max(b) over () - min(b) over ()) else b end + case when max(p) over () > min(p) over () then (p - min(p) over ()) / (max(p) over () - min(p) over ()) else p end) / 2 as score from m)
-select id, round(score, 6) as score from s order by s.score desc, id limit 5"""
     o["top_influential"] = f"""with {TRADE}, {DEGREES}, long as (select id, 'degree' as metric, (in_degree + out_degree)::double as value from deg union all select id, 'in_degree', in_degree::double from deg union all select id, 'in_strength', in_strength from deg)
 select metric, rank, id, round(value, 6) as value from (select *, row_number() over (partition by metric order by value desc, id) as rank from long) where rank <= 5"""
-    o["modularity"] = f"""with {TRADE}{UND}, pt as (select lpad(cast(n_nationkey as varchar), 2, '0') as id, n_regionkey as c from nation),
+    o["modularity"] = f"""with {TRADE}{UND}, pt as (select lpad(cast(s_suppkey as varchar), 8, '0') as id, s_nationkey as c from supplier),
 ee as (select x.c as ca, y.c as cb, w from und join pt x on x.id = und.a join pt y on y.id = und.b), m as (select sum(w) as m from ee),
 inside as (select ca as c, sum(w) as i from ee where ca = cb group by 1), ends as (select c, sum(w) as d from (select ca as c, w from ee union all select cb, w from ee) group by 1)
 select round(sum(coalesce(i, 0.0) / m - (d / (2 * m)) * (d / (2 * m))), 6) as q from ends left join inside using (c), m"""
     o["attack_curve"], o["fragility"] = _attack(), _fragility()
     base = "with " + TRADE + SEEDS + ",\n"
-    o["contagion_threshold"] = base + _contagion(0.4, "src", "dst", 12) + " select id, step::bigint as step from failed"
+    o["contagion_threshold"] = base + _contagion(0.4, "src", "dst", SPREAD) + " select id, step::bigint as step from failed"
     o["contagion_legacy"] = base + _contagion(0.3, "dst", "src", 10) + " select id, step::bigint as step from failed"
-    o["failures_over_time"] = base + _contagion(0.4, "src", "dst", 12) + ", c as (select step + 1 as step, count(*) as n from failed group by 1) select step::bigint as step, n::bigint as new, sum(n) over (order by step)::bigint as cumulative from c"
-    o["balance_sheet_cascade"] = base + _cascade(12) + " select id, f.step::bigint as step, round(coalesce(l.loss, 0.0), 6) as loss from f12 f full outer join l12 l using (id)"
+    o["failures_over_time"] = base + _contagion(0.4, "src", "dst", SPREAD) + ", c as (select step + 1 as step, count(*) as n from failed group by 1) select step::bigint as step, n::bigint as new, sum(n) over (order by step)::bigint as cumulative from c"
+    o["balance_sheet_cascade"] = base + _cascade(SPREAD) + f" select id, f.step::bigint as step, round(coalesce(l.loss, 0.0), 6) as loss from f{SPREAD} f full outer join l{SPREAD} l using (id)"
     o["contagion_index"] = bfs + " select tv.id, round(round(count(d.d) / (select count(*) from tv)::double, 6), 6) as contagion_index from tv left join (select * from dist where d > 0) d on d.root = tv.id group by 1"
     o["shock_topk"] = f"with {TRADE}, {DEGREES} select id, row_number() over (order by in_degree + out_degree desc, id)::bigint as rank from deg order by in_degree + out_degree desc, id limit 5"
-    o["survivor_subgraph"] = base + _contagion(0.4, "src", "dst", 12) + " select src, dst from te where src not in (select id from failed) and dst not in (select id from failed)"
+    o["survivor_subgraph"] = base + _contagion(0.8, "src", "dst", SPREAD) + " select src, dst from te where src not in (select id from failed) and dst not in (select id from failed)"
     o["pearson_graph"] = f"with {MONTHLY} select a.asset as a, b.asset as b, round(corr(a.r, b.r), 6) as weight, count(*)::bigint as n_obs from ret a join ret b on a.t = b.t and a.asset < b.asset group by 1, 2 having count(*) >= 30 and abs(corr(a.r, b.r)) >= 0.2"
     o["spearman_graph"] = f"with {MONTHLY}, {RANKS} select a, b, round(corr(x, y), 6) as weight, count(*)::bigint as n_obs from rk group by 1, 2 having count(*) >= 30 and abs(corr(x, y)) >= 0.2"
     o["distance_graph"] = f"with {MONTHLY_EDGES} select a, b, w as weight, {DISTANCE} as distance from me"
@@ -250,12 +274,8 @@ d as (select pr.a, pr.b, pr.k, pr.x - m.mx as dx, pr.y - m.my as dy from pr join
 v as (select n.a, n.b, coalesce(sum(0.06::double * power(0.94::double, n - k) * dx * dx), 0) + power(0.94::double, max(n) - 1) * 0.01 as xx, coalesce(sum(0.06::double * power(0.94::double, n - k) * dy * dy), 0) + power(0.94::double, max(n) - 1) * 0.01 as yy,
   coalesce(sum(0.06::double * power(0.94::double, n - k) * dx * dy), 0) as xy from n left join d on n.a = d.a and n.b = d.b group by 1, 2)
 select a, b, round(xy / ((sqrt(xx) + 1e-9) * (sqrt(yy) + 1e-9)), 6) as corr from v"""
-    o["betweenness"] = und_bfs + """,
-dm as materialized (select * from dist),
-""" + ",\n".join(["s0 as materialized (select id as root, id, 1.0::double as c from tv)", *[f"s{k} as materialized (select s.root, a.dst as id, sum(s.c) as c from s{k - 1} s join arcs a on a.src = s.id join dm on dm.root = s.root and dm.id = a.dst and dm.d = {k} group by 1, 2)" for k in range(1, 9)], "sg as materialized (" + " union all ".join(f"select * from s{k}" for k in range(9)) + ")"]) + """,
-ds as materialized (select dm.root, dm.id, dm.d, sg.c from dm join sg using (root, id)),
-n as (select count(*)::double as n from tv),
-b as (select x.id as v, sum(x.c * y.c / st.c) as s from ds st join ds x on x.root = st.root join ds y on y.root = x.id and y.id = st.id where st.d > 0 and x.id <> st.root and x.id <> st.id and x.d + y.d = st.d group by 1)
+    o["betweenness"] = und_bfs + ",\n" + _between(DEPTH) + """,
+n as (select count(*)::double as n from tv)
 select tv.id, round(coalesce(b.s, 0.0) / ((n - 1) * (n - 2)), 6) as betweenness from tv cross join n left join b on b.v = tv.id"""
     o["evolution_metrics"] = "with recursive " + SLIDING + """,
 ids as materialized (select distinct asset as id from ret),
@@ -273,4 +293,50 @@ select strftime(ts, '%Y-%m-%d') as ts, o.m::bigint as n_edges, round(o.m / ((sel
   round(case when before is not null and (o.m > 0 or before > 0) then ((o.m - kept) + (before - kept)) / (o.m + before + 1e-9) end, 6) as edge_turnover
 from o left join cl using (snap_id) left join comp using (snap_id)"""
     o["edge_index"] = f"with {TRADE}, vi as (select id, row_number() over (order by id) - 1 as o from tv) select x.o::bigint as src_ix, y.o::bigint as dst_ix from te join vi x on x.id = te.src join vi y on y.id = te.dst"
+    o["edge_turnover"] = f"select ts, edge_turnover from ({o['evolution_metrics']})"
+    for name in ("pearson", "spearman"):
+        at = ", ".join(f"({n}, {critical_correlation(n, 0.05)!r}::double)" for n in range(30, 200))
+        least = f"(values {at}) t(n_obs, least)"
+        everything = o[f"{name}_graph"].replace(" and abs(corr(a.r, b.r)) >= 0.2", "").replace(" and abs(corr(x, y)) >= 0.2", "")
+        o[f"{name}_significant"] = f"select g.* from ({everything}) g join {least} on t.n_obs = g.n_obs and abs(g.weight) >= t.least"
+    o["attack_random"] = _attack(RANDOM_ORDER)
+    o["coreness"] = CORENESS + f" select id, x::bigint as coreness from x{DEPTH}"
+    o["contagion_index_undirected"] = "with recursive " + COSHIP + """,
+reach as (select r.id as gone, v.id as root, v.id as id from tv r join tv v on v.id <> r.id union select x.gone, x.root, a.dst from reach x join arcs a on a.src = x.id and a.dst <> x.gone),
+whole as (select root, id from reach where false union all select * from (with recursive w as (select id as root, id from tv union select w.root, a.dst from w join arcs a on a.src = w.id) select root, id from w)),
+big as (select max(n) as n from (select count(*) as n from whole group by root)),
+left_ as (select gone, max(n) as n from (select gone, root, count(*) as n from reach group by 1, 2) group by 1)
+select tv.id, round((big.n - coalesce(left_.n, 0)) / (select count(*) from tv)::double, 6) as contagion_index from tv cross join big left join left_ on left_.gone = tv.id"""
+    o["debtrank"] = "with " + TRADE + SEEDS + """,
+wn as materialized (select te.src, te.dst, te.w / o.total as w from te join (select src, sum(w) as total from te group by 1) o using (src)),
+""" + _chain(
+        "select tv.id, case when s.id is not null then 0.5 else 0.0 end as h, case when s.id is not null then 0.5 else 0.0 end as prev, false as done from tv left join seeds s using (id)",
+        """select id, case when stop then h else new end as h, case when stop then prev else h end as prev, stop as done from (
+  select *, done or max(abs(new - prev)) over () < 1e-6 as stop from (
+    select p.id, p.h, p.prev, p.done, case when p.h >= 1 then 1.0 else least(1.0, p.h + coalesce(i.impact, 0.0)) end as new
+    from {p} p left join (select wn.dst as id, sum(wn.w * q.prev) as impact from wn join {p} q on q.id = wn.src group by 1) i using (id)))""",
+        50,
+    ) + " select id, round(h, 6) as debtrank from x50"
+    radius = LAYERS + """,
+ad as materialized (select layer, src, dst, w from lay union all select layer, dst, src, w from lay),
+""" + _chain(
+        "select distinct layer, src as id, 1.0 as x, 0.0 as r from ad",
+        "select layer, id, y / sqrt(sum(y * y) over (partition by layer)) as x, sqrt(sum(y * y) over (partition by layer)) as r from (select p.layer, p.id, sum(ad.w * q.x) as y from {p} p join ad on ad.layer = p.layer and ad.dst = p.id join {p} q on q.layer = p.layer and q.id = ad.src group by 1, 2)",
+        60,
+    ) + ", rad as materialized (select layer, max(r) as r from x60 group by 1), score as materialized (select layer, round(r / (sum(r) over () + 1e-9), 6) as s from rad)"
+    o["layer_importance"] = f"with {radius} select layer, round(s, 6) as score from score"
+    o["fuse_eigen"] = f"""with {radius}, m as (select *, max(w) over (partition by layer) as top from lay), ws as (select layer, s / sum(s) over () as f from score)
+select src as a, dst as b, round_even(sum(w / top * f), 6) as weight from m join ws using (layer) group by 1, 2 having sum(w / top * f) > 0.05"""
+    snap = SLIDING + """,
+tv as materialized (select distinct s.snap_id || '|' || r.asset as id from spread0 s, (select distinct asset from ret) r),
+arcs as materialized (select snap_id || '|' || a as src, snap_id || '|' || b as dst from snap_edges union all select snap_id || '|' || b, snap_id || '|' || a from snap_edges)"""
+    o["temporal_betweenness"] = "with " + snap + ",\n" + _bfs("arcs", "tv", DEPTH) + ",\n" + _between(DEPTH) + """,
+n as (select count(distinct asset)::double as n from ret)
+select cast(split_part(tv.id, '|', 1) as bigint) as snap_id, split_part(tv.id, '|', 2) as id, round(coalesce(b.s, 0.0) / ((n - 1) * (n - 2)), 6) as value from tv cross join n left join b on b.v = tv.id"""
+    unrounded = {"eigenvector": EIGENVECTOR.replace("round(x, 6)", "x"), "pagerank": PAGERANK.replace("round(x, 6)", "x"), "betweenness": o["betweenness"].replace("round(coalesce(b.s, 0.0) / ((n - 1) * (n - 2)), 6)", "coalesce(b.s, 0.0) / ((n - 1) * (n - 2))")}
+    scaled = "case when max({c}) over () > min({c}) over () then ({c} - min({c}) over ()) / (max({c}) over () - min({c}) over ()) else {c} end"
+    o["systemic_importance"] = f"""with e as ({unrounded['eigenvector']}), p as ({unrounded['pagerank']}), b as ({unrounded['betweenness']}), c as (select id, coreness::double as coreness from ({o['coreness']})),
+f as (select * from e join p using (id) join b using (id) join c using (id)),
+s as (select id, ({' + '.join(scaled.format(c=x) for x in ('betweenness', 'eigenvector', 'pagerank', 'coreness'))}) / 4 as score from f)
+select id, round(score, 6) as score from s order by s.score desc, id limit 5"""
     return o

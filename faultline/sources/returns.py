@@ -53,3 +53,17 @@ def simulated(spark: SparkSession, n_assets: int = 8, n_obs: int = 300, seed: in
     before = lambda name: F.lag(F.max(F.when(F.col("asset") == name, F.col("r"))).over(w), 1).over(Window.partitionBy("asset").orderBy("t"))
     r = r.withColumn("r", F.when(F.col("asset") == "Asset_2", F.col("r") + 0.5 * F.coalesce(before("Asset_1"), F.lit(0.0))).otherwise(F.col("r")))
     return r.withColumn("r", F.when(F.col("asset") == "Asset_3", F.col("r") + 0.4 * F.coalesce(before("Asset_2"), F.lit(0.0))).otherwise(F.col("r")))
+
+
+def correlated(spark: SparkSession, covariance: list[list[float]], n_obs: int = 252, seed: int = 42) -> DataFrame:
+    """Multivariate normal series ``Asset_1..k`` with the given covariance; each time's values depend on (seed, t) alone."""
+    import numpy as np
+
+    try:
+        low = np.linalg.cholesky(np.asarray(covariance, dtype=float))
+    except np.linalg.LinAlgError as e:
+        raise ValueError("a covariance must be symmetric and positive definite") from e
+    noise = simulated(spark, len(low), n_obs, seed, scale=1.0).select("t", F.col("asset").alias("source"), "r")
+    share = [(f"Asset_{i + 1}", f"Asset_{j + 1}", float(low[i, j])) for i in range(len(low)) for j in range(i + 1) if low[i, j]]
+    share = spark.createDataFrame(share, "asset string, source string, share double")
+    return noise.join(F.broadcast(share), "source").groupBy("t", "asset").agg(F.sum(F.col("r") * F.col("share")).alias("r"))  # assets squared, given by the caller

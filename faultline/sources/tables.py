@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, in_blocks, with_ordinals
 from ..operators.multilayer import Multiplex
 from .network import capital
 
@@ -18,6 +18,10 @@ def _nation(c: str):
     return F.lpad(F.col(c).cast("string"), 2, "0")
 
 
+def _supplier(c: str):
+    return F.lpad(F.col(c).cast("string"), 8, "0")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as an exposure of the supplier's nation to the customer's."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
@@ -28,49 +32,41 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(_nation("s_nationkey").alias("source"), _nation("c_nationkey").alias("target"), "v", "l_orderkey", "l_linenumber")
 
 
-#: Links a vertex keeps in the views that SQL covers; ``top=None`` keeps every link.
-TOP = 5
-
-
-def _heaviest(e: DataFrame, weight: str, top: int | None) -> DataFrame:
-    if top is None:
-        return e
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.col(weight).desc(), "dst"))
-    return e.withColumn("rn", place).where(F.col("rn") <= top).drop("rn")
-
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src, dst, exposure`` in ten thousands: a supplier is exposed to the next one of the same part on the same day.
 
-def trade_exposure(spark: SparkSession, sf_dir: str, top: int | None = TOP) -> DataFrame:
-    """``src, dst, exposure`` in millions: the ``top`` largest targets of each source, or all."""
-    e = trades(spark, sf_dir).where("source <> target").groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.round(F.sum("v") / 1e6, 6).alias("exposure"))
-    return _heaviest(e, "exposure", top)
+    Every line item counts; consecutive ones of a part and day are linked, so links grow with the rows.
+    """
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", _supplier("l_suppkey").alias("dst"), F.col("l_extendedprice").alias("v"))
+    before = F.lag("dst").over(Window.partitionBy("l_partkey", "day").orderBy("l_orderkey", "l_linenumber", "dst", "v"))
+    e = l.withColumn("src", before).where("src is not null and src <> dst")
+    return e.groupBy("src", "dst").agg(F.round(F.sum("v") / 1e4, 6).alias("exposure"))
 
 
 def by_number(id_: str):
-    """A share in [0, 1) that SQL can reproduce: from the nation's number."""
+    """A share in [0, 1) that SQL can reproduce: from the number in an id."""
     return F.pmod(F.col(id_).cast("long") * 37, F.lit(100)) / 100.0
 
 
-def trade_graph(spark: SparkSession, sf_dir: str, with_capital: bool = False, top: int | None = TOP) -> Graph:
-    e = trade_exposure(spark, sf_dir, top)
+def delivery_graph(spark: SparkSession, sf_dir: str, with_capital: bool = False) -> Graph:
+    """The network of ``deliveries``, directed; vertices are the suppliers that have a link."""
+    e = deliveries(spark, sf_dir)
     g = Graph.from_edges(e, weight="exposure")
     if not with_capital:
         return g
     return Graph(g.vertices.join(capital(g.vertices, e, share=by_number("id")), "id"), g.edges)
 
 
+def supplier_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, community``: the nation of each supplier, as a partition."""
+    return table(spark, sf_dir, "supplier").select(_supplier("s_suppkey").alias("id"), F.col("s_nationkey").alias("community"))
+
+
 def most_exposed(g: Graph, k: int = 3) -> DataFrame:
     """The vertices that most others are exposed to."""
     return g.edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "id").limit(k).select("id")
 
 
-def coship(spark: SparkSession, sf_dir: str, top: int | None = TOP) -> Graph:
-    """Suppliers that share orders, undirected; each keeps its ``top`` heaviest partners, or all."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("s"), "l_extendedprice")
-    a, b = l.select("l_orderkey", F.col("s").alias("src")), l.select("l_orderkey", F.col("s").alias("dst"), "l_extendedprice")
-    e = a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.round(F.sum("l_extendedprice") / 1e6, 6).alias("weight"))
-    return Graph.from_edges(_heaviest(e, "weight", top)).undirected()
-
-
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``t, asset, r``: order totals of each nation's customers by whole month, in millions.
 
@@ -97,8 +93,11 @@ def daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_layers(spark: SparkSession, sf_dir: str) -> Multiplex:
     """A layer an event type: users that follow each other in time."""
     e = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", F.lpad(F.col("user_id").cast("string"), 8, "0").alias("u"))
-    before = F.lag("u").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    p = e.withColumn("v", before).where("v is not null and u <> v")
-    layers = p.groupBy(F.col("event_type").alias("layer"), F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    # Blocks of the order by type and time, each with the row before it: no type has to fit a task.
+    e = in_blocks(with_ordinals(e, "event_type", "ts", "event_id"), 1)
+    w = Window.partitionBy("block").orderBy("ord")
+    e = e.withColumn("v", F.when(F.lag("event_type").over(w) == F.col("event_type"), F.lag("u").over(w)))
+    e = e.where("not halo and v is not null and u <> v")
+    layers = e.groupBy(F.col("event_type").alias("layer"), F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return Multiplex.of(layers.withColumn("directed", F.lit(False)))
 
