@@ -5,8 +5,9 @@ deflate strips and tiles, undoes the horizontal and floating-point predictors an
 an array. The writer makes strips or tiles with the same compressions.
 
 Defined results: a null or empty media value has no pages; a chain that comes back to a directory it
-has visited stops there; a truncated or foreign file raises ``TiffError`` in ``read_pages`` and gives
-one row with ``error`` set in ``decode_tiff``. Texts are stored as rows of 64 bytes; a null text is
+has visited stops there; a truncated, broken or foreign file, and one whose pages claim more than
+``MAX_PIXEL_BYTES`` or more than their data can hold, raises ``TiffError`` in ``read_pages`` and gives
+one row with ``error`` set in ``decode_tiff``, whatever pages came before. Texts are stored as rows of 64 bytes; a null text is
 empty and stored as one row of zero bytes.
 """
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import tidied
 from .text import string_column
 
 # Fixed values of the TIFF 6.0 format: tags, field types and compression codes.
@@ -31,6 +33,9 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 3
 _TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
+#: A page of more decoded bytes is an error; it would not fit a task.
+MAX_PIXEL_BYTES = 1 << 30
+
 
 class TiffError(ValueError):
     """The bytes aren't a TIFF file this reader can decode."""
@@ -92,6 +97,8 @@ def lzw_decode(data: bytes) -> bytes:
         if code == 257:
             break
         if prev is None:
+            if code > 257:
+                raise TiffError("LZW code out of range")
             entry = table[code]
         else:
             if code > len(table):
@@ -143,7 +150,8 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def decompress(data: bytes, code: int) -> bytes:
+def decompress(data: bytes, code: int, need: int) -> bytes:
+    """The first ``need`` bytes at least; a stream that goes on far beyond them is not followed."""
     if code == NONE:
         return data
     if code == PACKBITS:
@@ -152,7 +160,7 @@ def decompress(data: bytes, code: int) -> bytes:
         return lzw_decode(data)
     if code in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, need)
         except zlib.error as e:
             raise TiffError(str(e)) from e
     raise TiffError(f"compression {code} is not supported")
@@ -212,6 +220,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
                 tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
                 if kind not in _TYPES:
                     continue
+                if count > len(data):
+                    raise TiffError("a field larger than the file")
                 fmt = f"{order}{count}{_TYPES[kind]}"
                 where = at + 10 + 12 * k
                 if struct.calcsize(fmt) > 4:
@@ -225,29 +235,42 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
 
 def page_pixels(data: bytes, order: str, f: dict[int, tuple]) -> np.ndarray:
     """A page as rows x columns x samples (chunky layout, samples of 8, 16, 32 or 64 bits)."""
-    try:
-        width, height = f[WIDTH][0], f[HEIGHT][0]
-    except KeyError as e:
-        raise TiffError("no image size") from e
-    samples, bits = f.get(SAMPLES, (1,))[0], f.get(BITS, (1,))[0]
-    if bits not in (8, 16, 32, 64) or f.get(PLANAR, (1,))[0] != 1:
+
+    def one(tag: int, default: int | None = None) -> int:
+        value = f.get(tag) or (default,)
+        if value[0] is None or not isinstance(value[0], int) or value[0] < 0:
+            raise TiffError(f"no usable field {tag}")
+        return value[0]
+
+    width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
+    if bits not in (8, 16, 32, 64) or one(PLANAR, 1) != 1:
         raise TiffError("only whole-byte chunky samples are supported")
-    kind = {1: "u", 2: "i", 3: "f"}.get(f.get(SAMPLE_FORMAT, (1,))[0], "u")
+    kind = {1: "u", 2: "i", 3: "f"}.get(one(SAMPLE_FORMAT, 1), "u")
+    if kind == "f" and bits == 8 or kind != "f" and one(PREDICTOR, 1) == 3:
+        raise TiffError("sample format and size do not go together")
     dtype = np.dtype(f"{order}{kind}{bits // 8}")
     tiled = TILE_WIDTH in f
-    cols, rows = (f[TILE_WIDTH][0], f[TILE_HEIGHT][0]) if tiled else (width, min(f.get(ROWS_PER_STRIP, (height,))[0], height))
-    where, sizes = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[STRIP_OFFSETS], f[STRIP_COUNTS])
+    cols, rows = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    where, sizes = (f.get(TILE_OFFSETS), f.get(TILE_COUNTS)) if tiled else (f.get(STRIP_OFFSETS), f.get(STRIP_COUNTS))
+    if not (width and height and samples and cols and rows and where and sizes):
+        raise TiffError("a page without pixels, strips or tiles")
+    across, down = -(-width // cols), -(-height // rows)
+    if max(width * height, across * cols * rows) * samples * dtype.itemsize > MAX_PIXEL_BYTES:
+        raise TiffError("a page too large to decode")
+    if min(len(where), len(sizes)) < across * down:
+        raise TiffError("strips or tiles are missing")
     out = np.zeros((height, width, samples), dtype=dtype)
-    across = -(-width // cols)
-    for k, (at, size) in enumerate(zip(where, sizes)):
+    for k, (at, size) in enumerate(zip(where[: across * down], sizes)):
         top, left = k // across * rows, k % across * cols
         full = rows if tiled else min(rows, height - top)
-        raw = decompress(data[at : at + size], f.get(COMPRESSION, (NONE,))[0])
+        if at < 0 or size < 0 or at + size > len(data):
+            raise TiffError("a strip or tile outside the file")
         need = full * cols * samples * dtype.itemsize
+        raw = decompress(data[at : at + size], one(COMPRESSION, NONE), need)
         if len(raw) < need:
             raise TiffError("a strip or tile is too short")
         block = np.frombuffer(raw[:need], dtype=dtype).reshape(full, cols, samples)
-        block = undo_predictor(block, f.get(PREDICTOR, (1,))[0], order)
+        block = undo_predictor(block, one(PREDICTOR, 1), order)
         out[top : top + full, left : left + cols] = block[: height - top, : width - left]
     return out
 
@@ -301,18 +324,25 @@ PAGES = "media_id long, page int, width int, height int, samples int, bits int,
 TEXT_MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def decode_rows(owner, data: bytes | None) -> list[tuple]:
+    """The rows of ``PAGES`` of one file."""
+    rows = []
+    try:
+        for k, page in enumerate(read_pages(data)):
+            rows.append((owner, k, page.shape[1], page.shape[0], page.shape[2], 8 * page.dtype.itemsize, page.astype(page.dtype.newbyteorder("=")).tobytes(), None))
+    except TiffError as e:
+        rows = [(owner, None, None, None, None, None, None, str(e))]
+    return rows
+
+
 def decode_tiff(media: DataFrame, key: str = "media_id", column: str = "media") -> DataFrame:
     """One row a page: size, sample layout and decoded samples (row-major, native order)."""
 
+    @tidied
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for owner, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
-                try:
-                    for k, page in enumerate(read_pages(data)):
-                        rows.append((owner, k, page.shape[1], page.shape[0], page.shape[2], 8 * page.dtype.itemsize, page.astype(page.dtype.newbyteorder("=")).tobytes(), None))
-                except TiffError as e:
-                    rows = [(owner, None, None, None, None, None, None, str(e))]
+                rows = decode_rows(owner, data)
                 if rows:
                     types = [pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.string()]
                     yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in PAGES.split(", ")])
@@ -334,6 +364,7 @@ def features(page: np.ndarray) -> str:
 def text_media(docs: DataFrame, compression: int = DEFLATE, predictor: int = 2, rows: int = 256) -> DataFrame:
     """Store every text as a TIFF of 64 columns, read the file back and describe what it holds."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in TEXT_MEDIA.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
