@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import tidied
 from .text import raw_bytes, string_column
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -133,6 +134,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def read_formatted(formatted: DataFrame) -> DataFrame:
     """Digests of what a formatted output says: its turns, and the text under its loss mask."""
 
+    @tidied
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -145,3 +147,20 @@ def read_formatted(formatted: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     return formatted.select("conv_id", "n_turns", "formatted", "loss_spans").mapInArrow(read, DIGEST)
+
+
+def oracle_sql(hostile: str) -> str:
+    """The digests told from the table itself; formatted lengths from the template and the number of escapes."""
+    return rf"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '{hostile}' union all select -1, 1, 'assistant', '{hostile}'),
+t as (
+  select *, length('{START}{END}') + 2 + length(text) + len(regexp_extract_all(text, '<\\*\|'))
+            + length(role) + len(regexp_extract_all(role, '[\\\n]')) + len(regexp_extract_all(role, '<\|')) as chars from c)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
+       sum(chars)::bigint as formatted_chars
+from t group by conv_id
+"""

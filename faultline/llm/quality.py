@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sample import SAMPLE_DOCS, adam, fold, labelled_features, sigmoid
+from .storage import tidied
 from .text import Words, chunks, string_column
 
 VOCABULARY = 1 << 14
 DIMS = 32
 HIDDEN = 24
 THRESHOLD = 0.3
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +68,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     dims, signs = index_vectors()
     columns = ", ".join(f"c{i} long" for i in range(DIMS))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((VOCABULARY, DIMS), dtype=np.int64)
         for batch in batches:
@@ -168,6 +170,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, t
     y, packed = labelled_features(docs, labels, "quality", fold(F.col("doc_id"), folds) != held, features, limit)
     net = fit(y, np.frombuffer(b"".join(packed), dtype=np.float32).reshape(len(y), 3 * DIMS + 1))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = string_column(batch, "text")

@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 #: Vocabulary files are found by name through this installed package; they are never copied here.
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+#: Rows of a batch between Spark and Python. Spark's own 10,000 documents are some 50 MB on either side, in every task.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder; its texts will go to Python in small batches unless the session says otherwise."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -103,11 +111,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontam, mixing, substring, warc
+    from . import chat, decontam, mixing, setjoin, substring, warc
 
     return {
+        "op3_jaccard_join": setjoin.ORACLE_SQL,
         "op4_substring_dedup": substring.ORACLE_SQL,
         "op6_decontaminate": decontam.ORACLE_SQL,
         "op7_source_mix": mixing.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
+        "op10_chat_format": chat.oracle_sql(HOSTILE_TEXT),
     }

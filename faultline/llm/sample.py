@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import tidied
+
 #: Labelled documents a classifier is fitted on, at most.
 SAMPLE_DOCS = 6000
 
@@ -28,6 +30,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, usable: Co
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``limit``
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

@@ -1,40 +1,61 @@
 """Files that driver and executors share.
 
-Artefacts go below ``spark.checkpoint.dir``. Where that setting is absent (tests, a laptop) a folder
-of the driver's machine is set as the session's checkpoint directory and used instead. Tasks write
-under names that hold their attempt, and only names a successful task returned are ever read, so a
-lost executor or a speculative copy leaves no trace in a result.
+Artefacts go below ``spark.checkpoint.dir`` (see ``plans.iterate``). Tasks write under names that hold
+their attempt, and only names a successful task returned are ever read, so a lost executor or a
+speculative copy leaves no trace in a result.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import functools
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
+from ..plans.iterate import cut as materialize
+from ..plans.iterate import discard, shared_folder
 
+__all__ = ["BROADCAST_ROWS", "attempt_name", "discard", "few", "keyed", "materialize", "open_input", "open_output", "shared_folder", "tidied", "tidy", "without"]
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder URI that every executor can reach."""
-    base = spark.conf.get(_SETTING, None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="faultline-")
-        spark.conf.set(_SETTING, base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+#: Rows of ids and numbers that may be broadcast (about 20 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write as Parquet into the shared folder and read again."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def few(written: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if a count shows that it is small enough."""
+    return F.broadcast(written) if written.count() <= limit else written
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str, name: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is among ``gone``'s only column (null equals null)."""
+    gone = materialize(gone.toDF("__gone").distinct(), name)
+    return docs.join(few(gone), docs[key].eqNullSafe(gone["__gone"]), "left_anti")
+
+
+def tidy() -> None:
+    """Give memory that this worker no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidied(function):
+    """A function of batches that leaves a tidy worker behind."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            tidy()
+
+    return run
 
 
 def open_input(uri: str):

@@ -42,20 +42,27 @@ KINDS = {"words": _WORDS, "letters": _LETTERS, "runs": _RUNS}
 
 
 class _Powers:
-    """Powers of the multiplier and of its inverse modulo 2**64, grown on demand."""
+    """Powers of the multiplier and of its inverse modulo 2**64; those a chunk needs are kept, longer runs made anew."""
 
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
+    most = 2 * CHUNK_BYTES + 100_000
+    kept: tuple[np.ndarray, np.ndarray] | None = None
+
+    @staticmethod
+    def _made(n: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for base in (_R, _R_INV):
+            a = np.full(n, base, dtype=np.uint64)
+            a[:1] = 1
+            out.append(np.cumprod(a, dtype=np.uint64))
+        return out[0], out[1]
 
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            m = max(n, 1 << 16)
-            for name, base in (("up", _R), ("down", _R_INV)):
-                a = np.full(m, base, dtype=np.uint64)
-                a[0] = 1
-                setattr(cls, name, np.cumprod(a, dtype=np.uint64))
-        return cls.up[:n], cls.down[:n]
+        if n > cls.most:
+            return cls._made(n)
+        if cls.kept is None:
+            cls.kept = cls._made(cls.most)
+        return cls.kept[0][:n], cls.kept[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

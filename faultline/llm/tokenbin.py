@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,14 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import attempt_name, open_input, open_output, shared_folder
+from .storage import attempt_name, open_input, open_output, shared_folder, tidied
 from .text import _BYTE, _BYTE2, _Powers, chunks, mix, raw_bytes, string_column
 
 MAGIC = b"FLTOKEN1"
 BLOCK_IDS = 65_536
-#: Distinct text units remembered by a worker; beyond that it starts afresh.
-CACHE_UNITS = 1_500_000
-CHUNK_BYTES = 2_000_000
+#: Distinct text units remembered within a task, and their ids; beyond either it starts afresh.
+CACHE_UNITS = 400_000
+CACHE_IDS = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 # --- planes -----------------------------------------------------------------------------------
@@ -161,7 +163,11 @@ class UnitEncoder:
 
     A byte-level vocabulary cuts a text before every single space that stands between two
     characters that are not white space, so the ids of a text are those of its units in turn.
-    Units are told apart by 128 bits of hash; their ids are kept in arrays.
+    Units are told apart by 128 bits of hash; their ids are kept in arrays until ``forget``.
+
+    What the cuts rely on is checked in the file: no normalizer, the byte-level pre-tokenizer with its
+    usual pattern, plain merges, special tokens written ``<|name|>``. Any other vocabulary is left to the
+    library, text by text.
     """
 
     def __init__(self, path: str) -> None:
@@ -172,9 +178,23 @@ class UnitEncoder:
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self._reset()
+        self.cuts = self._cuts_hold()
+        self.forget()
+
+    def _cuts_hold(self) -> bool:
+        told = json.loads(self.tokenizer.to_str())
+        before, model, added = told["pre_tokenizer"] or {}, told["model"], told["added_tokens"]
+        return (
+            told["normalizer"] is None
+            and before.get("type") == "ByteLevel"
+            and before.get("use_regex") is True
+            and before.get("add_prefix_space") is False
+            and model.get("type") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+            and all(re.fullmatch(r"<\|[a-z_]+\|>", t["content"]) and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+        )
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
         self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
         self.at, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
@@ -204,11 +224,17 @@ class UnitEncoder:
             out[i] = ids
         return out
 
+    def _whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._plain(column.fill_null("").to_pylist())
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of each text."""
         data, offsets = raw_bytes(column)
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(column), np.int64)
+        if not self.cuts:
+            return self._whole(column)
         starts = unit_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         up, down = _Powers.get(len(data) + 1)
@@ -220,15 +246,14 @@ class UnitEncoder:
         key, rep, inverse = np.unique(both[0], return_index=True, return_inverse=True)
         check = both[1][rep]
         if (check[inverse] != both[1]).any():  # two units with one hash
-            ids = self._plain(column.fill_null("").to_pylist())
-            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+            return self._whole(column)
         slot = np.searchsorted(self.key, key)
         known = slot < len(self.key)
         known[known] = (self.key[slot[known]] == key[known]) & (self.check[slot[known]] == check[known])
         new = np.flatnonzero(~known)
         if len(new):
-            if len(self.key) > CACHE_UNITS:
-                self._reset()
+            if len(self.key) + len(new) > CACHE_UNITS or len(self.ids) > CACHE_IDS:
+                self.forget()
                 new = np.arange(len(key))
             whole = data.tobytes()
             encoded = self._units([whole[starts[r] : ends[r]].decode() for r in rep[new].tolist()])
@@ -283,16 +308,6 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
-def encoder(path: str) -> UnitEncoder:
-    """One encoder a worker and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
-
-
 # --- operator ---------------------------------------------------------------------------------
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
@@ -305,9 +320,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = 2, kind:
     folder = folder or shared_folder(spark, "tokens")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @tidied
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, path = attempt_name(folder, ".tok")
-        enc, out, n_docs = encoder(vocabulary), None, 0
+        enc, out, n_docs = UnitEncoder(vocabulary), None, 0  # a task's own, so nothing stays in the worker
         for batch in batches:
             texts, keys = string_column(batch, "text"), batch.column(batch.schema.get_field_index("doc_id"))
             for lo, hi in chunks(texts, CHUNK_BYTES):
@@ -319,6 +335,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = 2, kind:
                     out = TokenWriter(open_output(path), enc.width, kind)
                 out.add(keys.slice(lo, hi - lo), ids, lengths)
                 n_docs += hi - lo
+        del enc
         if out is not None:
             out.close()
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([n_docs], pa.int64()), pa.array([out.total], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
@@ -337,6 +354,7 @@ def read_tokens(spark, files: list[dict]) -> DataFrame:
     if not files:
         return spark.createDataFrame([], DOCUMENTS)
 
+    @tidied
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
