@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Adjacency sent to every task, at most; dense matrices, at most.
+#: Adjacency sent to every task, at most; rows of dense matrices, and cells of a panel, at most.
 MAX_EDGES = 2_000_000
 MAX_DENSE = 5_000
+MAX_CELLS = 50_000_000
 
 
 def adjacency(arcs: DataFrame, limit: int = MAX_EDGES) -> dict[str, list[tuple[str, float]]]:

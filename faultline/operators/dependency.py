@@ -73,9 +73,9 @@ def _panel(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _dense(returns: DataFrame, function, schema: str) -> DataFrame:
     """A kernel on the whole panel, after checking that it is small enough."""
-    n = returns.select("asset").distinct().count()
-    if n > kernels.MAX_DENSE:
-        raise ValueError(f"more than {kernels.MAX_DENSE} assets in a dense matrix")
+    told = returns.agg(F.countDistinct("asset").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    if told.n > kernels.MAX_DENSE or told.rows > kernels.MAX_CELLS:
+        raise ValueError(f"more than {kernels.MAX_DENSE} assets or {kernels.MAX_CELLS} observations in a dense matrix")
     names = [c.split()[0] for c in schema.split(", ")]
     return returns.groupBy(F.lit(0).alias("k")).applyInPandas(lambda pdf: pd.DataFrame(function(_panel(pdf)), columns=names), schema)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..graph import Graph
+from ..plans.iterate import cut
 
 
 def random_walks(g: Graph, length: int = 30, walks: int = 10, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
@@ -41,9 +42,39 @@ def random_walks(g: Graph, length: int = 30, walks: int = 10, p: float = 1.0, q:
             out.append((v, k, path))
         return out
 
+    if g.edges.count() * (1 if g.directed else 2) > kernels.MAX_EDGES:
+        return walks_by_joins(g, length, walks, p, q, seed)
     return kernels.per_vertex(g, of, "id string, walk int, path array<string>")
 
 
+def walks_by_joins(g: Graph, length: int = 30, walks: int = 10, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
+    """The same walks for graphs of any size: a step of all walkers is a join with the neighbours of where they are.
+
+    No task holds more of the graph than the neighbours of the vertices its walkers stand on.
+    """
+    near = cut(g.arcs().groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("near")))
+    state = g.vertices.select("id", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), F.array("id").alias("path"))
+    for step in range(1, length):
+        here = near.select(F.col("src").alias("__at"), "near")
+        told = state.join(here, F.element_at("path", -1) == F.col("__at"), "left")
+        if step == 1:
+            weight = F.transform("near", lambda w: F.lit(1.0))
+        else:
+            before = near.select(F.col("src").alias("__from"), F.col("near").alias("known"))
+            told = told.join(before, F.get("path", F.size("path") - 2) == F.col("__from"), "left")
+            last = F.get("path", F.size("path") - 2)
+            weight = F.transform("near", lambda w: F.when(w == last, F.lit(1 / p)).when(F.array_contains(F.coalesce("known", F.array()), w), F.lit(1.0)).otherwise(F.lit(1 / q)))
+        told = told.withColumn("weight", weight)
+        draw = F.crc32(F.concat_ws("|", F.lit(str(seed)), "id", F.col("walk").cast("string"), F.size("path").cast("string")).cast("binary")) / F.lit(2.0**32)
+        start = F.struct((draw * F.aggregate("weight", F.lit(0.0), lambda a, w: a + w)).alias("u"), F.lit(0).alias("at"), F.lit(False).alias("stop"))
+        step_on = lambda s, w: F.when(s["stop"] | (s["u"] < w), F.struct(s["u"].alias("u"), s["at"].alias("at"), F.lit(True).alias("stop"))).otherwise(F.struct((s["u"] - w).alias("u"), (s["at"] + 1).alias("at"), F.lit(False).alias("stop")))
+        chosen = F.get("near", F.least(F.aggregate("weight", start, step_on)["at"], F.size("near") - 1))
+        state = told.select("id", "walk", F.when(F.col("near").isNotNull(), F.concat("path", F.array(chosen))).otherwise(F.col("path")).alias("path"))
+        if step % 4 == 0:
+            state = cut(state)
+    return state
+
+
 def node2vec(g: Graph, dim: int = 32, length: int = 30, walks: int = 10, window: int = 5, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
     """``id, vec``: skip-gram vectors of walks, by ``pyspark.ml``; an empty graph has none."""
     paths = random_walks(g, length, walks, p, q, seed)

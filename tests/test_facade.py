@@ -232,6 +232,13 @@ def test_betweenness_by_joins_equals_the_kernel(spark, monkeypatch):
         assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("p,q", [(1.0, 1.0), (0.25, 4.0)])
+def test_walks_by_joins_equal_the_kernel(spark, p, q):
+    g = graph(spark, [("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("c", "d", 1), ("d", "b", 1), ("d", "e", 1)])
+    want = sorted((r.id, r.walk, tuple(r.path)) for r in embedding.random_walks(g, 7, 2, p, q).collect())
+    assert sorted((r.id, r.walk, tuple(r.path)) for r in embedding.walks_by_joins(g, 7, 2, p, q).collect()) == want
+
+
 def test_clusters_need_a_shared_folder(monkeypatch):
     from types import SimpleNamespace
 
