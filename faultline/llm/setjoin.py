@@ -2,27 +2,38 @@
 
 A document is the set of its distinct ``n``-word shingles. Sizes fall into bands such that two sets
 of Jaccard similarity ``num/den`` or more lie in one band or in neighbouring ones. For the pair's
-lower band the symmetric difference is at most ``H``, so if the universe of shingle hashes is cut into
-more than ``H`` segments, the two sets agree on one segment at least. A set publishes its non-empty
-segments, once for its own band and once for the band below.
-
-Empty segments cost a bucket of everybody and are allocated nothing; a few spare segments make up for
-them. A set that is left with ``H`` non-empty segments or fewer (about one in a hundred) is short. A pair
-can only be missed if both sets are short; short sets therefore publish, besides, the one-deletion
-neighbourhood of each segment, which gives a segment of two elements or more a second credit, and
-their size-filter prefix for the rest, for which even those credits fall short.
-
-Equal sets are one node from the start, published once a task, so copies never meet in a bucket. Every
-bucket first links its nodes to its least node; candidates are refuted by size and odd sketch, or
-verified exactly on the shingle sets.
-Rounds of forests then join what is left of a bucket's components, and at last the members of those
+lower band the symmetric difference is at most ``H``, and the universe of shingle hashes is cut into
+more than ``H`` segments. A set takes part twice, in its own band and in the band below.
+
+Credits. Looking up a segment's subset finds partners that agree on it (one credit); looking up its
+one-deletion neighbourhood too finds those that differ in one element there (two credits). A set that
+spends ``H + 1`` credits finds every partner, whatever it leaves out:
+
+* a regular set has more than ``H`` non-empty segments and publishes their subsets;
+* a short set has fewer; it publishes the one-deletion neighbourhoods of its segments of two elements
+  or more as well, and if even those credits fall short (it is bare), its empty segments.
+
+Whatever a set looks up, its partner has published, or the partner's own look-ups find the pair: a
+regular partner needs subsets alone, a short one that isn't bare no empty segments.
+
+Cost-based allocation. Every published signature is counted. What nobody else published costs nothing
+and its credit is free; of the rest a set leaves out the most crowded buckets, as many as its credits
+allow (the spare segments of a regular set, the spare deletions and empty segments of a short one). A
+bucket that no member has chosen is dropped, so a line or passage that many documents share is looked
+up only by those that need it.
+
+Equal sets are one node from the start. Every bucket first links its nodes to its least chooser;
+candidates are refuted by size and odd sketch, or verified exactly on the shingle sets, which are
+stored once. Rounds of forests then join what is left of a bucket's components, and at last members
 that stay apart are compared pair by pair, so no link between components is lost, while a group of
-near copies costs stars and forests rather than all its pairs.
+near copies costs stars and forests rather than all its pairs. Crowded buckets are cut into blocks
+that are compared two by two in separate tasks, and signatures that are frequent within a task are
+dealt out by node instead of meeting in one place.
 
 Defined results: a text of fewer than ``n`` words is one shingle, its whole sequence; null, empty and
 word-free texts are empty sets, linked with nothing, each its own component; repeated rows are equal
 sets and share a component; a null doc_id never is a component's name unless all ids of it are null;
-other columns are ignored; an empty table gives an empty result.
+other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +43,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import keyed, materialize
+from ..plans.iterate import least_reachable as components
+from .storage import discard, few, keyed, materialize, tidied, without
 from .text import Words, chunks, grams, mix, signed, string_column
 
 _U = np.uint64
 
+#: Members of a bucket that one task compares with each other; larger buckets are cut into such blocks.
+BLOCK = 1_024
+#: Nodes of one task with one signature from which on its rows are dealt out by node.
+FREQUENT = 64
+
 
 class Bands:
     """Size bands, their largest symmetric difference and their number of segments."""
@@ -111,49 +128,80 @@ def most_apart(na: str, nb: str, num: int, den: int) -> str:
     return f"({na} + {nb} - 2 * ((({num} * ({na} + {nb})) + {num + den - 1}) div {num + den}))"
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures, and the index of the set each belongs to."""
-    size = np.diff(bounds)
-    band = bands.of(size)
-    low = np.array(bands.low)
-    while len(bands.most) <= band.max(initial=0):
-        bands._extend()
-    most, segments = np.array(bands.most), np.array(bands.segments)
+class Segments:
+    """The segments of the sets of a chunk, in their own bands (``below`` 0) or in the bands below (1)."""
+
+    def __init__(self, values: np.ndarray, bounds: np.ndarray, bands: Bands, below: int) -> None:
+        size = np.diff(bounds)
+        self.n = len(size)
+        band = bands.of(size) - below
+        while len(bands.most) <= band.max(initial=0):
+            bands._extend()
+        most, segments = np.array(bands.most), np.array(bands.segments)
+        used = (size > 0) & (band >= 0)
+        used[used] = segments[band[used]] > 0
+        self.band = np.maximum(band, 0)
+        self.m, self.h = np.where(used, segments[self.band], 0), np.where(used, most[self.band], 0)
+        self.doc = np.repeat(np.arange(self.n), np.where(used, size, 0))
+        self.element = np.flatnonzero(np.repeat(used, size))
+        self.segment = (((values[self.element] >> _U(32)) * self.m[self.doc].astype(np.uint64)) >> _U(32)).astype(np.int64)
+        cell = (np.cumsum(self.m) - self.m)[self.doc] + self.segment
+        self.first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.empty(0, dtype=np.int64)
+        self.owner = self.doc[self.first]
+        self.count = np.diff(np.append(self.first, len(cell)))
+        self.filled = np.bincount(self.owner, minlength=self.n)
+        self.twos = np.bincount(self.owner[self.count > 1], minlength=self.n)
+        self.short = used & (self.filled <= self.h)
+        self.bare = self.short & (self.filled + self.twos <= self.h)
+
+    def spare(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many subsets, and how many deletions or empty segments, each set may leave out."""
+        regular = (self.m > 0) & ~self.short
+        more = self.twos + np.where(self.bare, self.m - self.filled, 0)
+        return np.where(regular, self.filled - self.h - 1, 0), np.where(self.short, more - (self.h + 1 - self.filled), 0)
+
+    def place(self, owner: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        return mix((segment.astype(np.uint64) << _U(16)) + self.band[owner].astype(np.uint64) + _U(1))
+
+
+def signatures(values: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, the set each belongs to, and its part.
+
+    ``part``: lowest bit, the band (0 own, 1 below); the rest 0 for a subset, ``1 + segment`` for a
+    deletion in it, ``-1 - segment`` for an empty segment.
+    """
     inner = mix(values + _U(7))
-    sigs, owners = [], []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for below in (0, 1):
-        j = band - below
-        used = (size > 0) & (j >= 0)
-        used[used] = segments[j[used]] > 0
-        m = np.where(used, segments[np.maximum(j, 0)], 0)
-        doc = np.repeat(np.arange(len(size)), np.where(used, size, 0))
-        element = np.flatnonzero(np.repeat(used, size))
-        if not len(element):
+        s = Segments(values, bounds, bands, below)
+        if not len(s.element):
             continue
-        segment = ((values[element] >> _U(32)) * m[doc].astype(np.uint64)) >> _U(32)
-        cell = (np.cumsum(m) - m)[doc] + segment.astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        content = np.add.reduceat(inner[element], first)
-        owner = doc[first]
-        place = mix((segment[first] << _U(16)) + j[owner].astype(np.uint64) + _U(1))
-        sigs.append(mix(content ^ place))
-        owners.append(owner)
-        short = used & (np.bincount(owner, minlength=len(size)) <= np.where(used, most[np.maximum(j, 0)], 0))
-        if short.any():
-            count = np.diff(np.append(first, len(element)))
-            which = np.repeat(np.arange(len(first)), count)
-            cut = (count[which] > 1) & short[doc]
-            sigs.append(mix((content[which[cut]] - inner[element[cut]]) ^ place[which[cut]]))
-            owners.append(doc[cut])
-            for d in np.flatnonzero(short):
-                keep = size[d] - -(-bands.num * size[d] // bands.den) + 1
-                sigs.append(mix(values[bounds[d] : bounds[d] + keep] + _U(0xABCD) + _U(int(j[d]))))
-                owners.append(np.full(keep, d))
-    return (np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.empty(0, np.uint64), np.empty(0, np.int64))
-
-
-def _sets(docs: DataFrame, n: int) -> DataFrame:
+        content = np.add.reduceat(inner[s.element], s.first)
+        place = s.place(s.owner, s.segment[s.first])
+        out.append((mix(content ^ place), s.owner, np.full(len(content), below)))
+        if s.short.any():
+            which = np.repeat(np.arange(len(s.first)), s.count)
+            cut = (s.count[which] > 1) & s.short[s.doc]
+            out.append((mix((content[which[cut]] - inner[s.element[cut]]) ^ place[which[cut]]), s.doc[cut], below + 2 * (1 + s.segment[cut])))
+            for d in np.flatnonzero(s.bare):
+                empty = np.setdiff1d(np.arange(s.m[d]), s.segment[s.doc == d])
+                owner = np.full(len(empty), d)
+                out.append((mix(s.place(owner, empty)), owner, below - 2 * (1 + empty)))
+    if not out:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+_SETS = "__key long, doc_id long, size long, node long, twin long, subsets0 int, more0 int, subsets1 int, more1 int, " + ", ".join(f"{k} long" for k in SKETCH)
+
+
+def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """One row a document: its set's size, hashes, sketch, and how much it may leave out of either band."""
+    names = [c.split()[0] for c in _SETS.split(", ")]
+
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
         for batch in batches:
             texts = string_column(batch, "text")
             for lo, hi in chunks(texts):
@@ -162,121 +210,163 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 size = np.diff(bounds)
                 empty = size == 0
                 sketch = odd_sketches(values, bounds)
-                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size), pa.array(signed(one), mask=empty), pa.array(signed(two), mask=empty)]
-                yield pa.record_batch([*columns, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))]], names=["__key", "doc_id", "size", "node", "twin", *SKETCH])
+                spare = [x.astype(np.int32) for below in (0, 1) for x in Segments(values, bounds, bands, below).spare()]
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size), pa.array(signed(one), mask=empty), pa.array(signed(two), mask=empty), *map(pa.array, spare)]
+                yield pa.record_batch([*columns, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))]], names=names)
 
-    return docs.select("__key", "doc_id", "text").mapInArrow(run, "__key long, doc_id long, size long, node long, twin long, " + ", ".join(f"{k} long" for k in SKETCH))
+    return docs.select("__key", "doc_id", "text").mapInArrow(run, _SETS)
 
 
 def _published(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``slot, node, part, own``: signatures of each task's distinct sets, to be grouped by slot.
+
+    The slot is the signature, and ``own`` null. Of a signature that is frequent within a task one row
+    stands for all (``own`` tells so), the others, known to be shared, have a slot of their own.
+    """
+
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush():
+            sig, node, part = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(sig, kind="stable")
+            sig, node, part = sig[order], node[order], part[order]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            size = np.diff(np.append(first, len(sig)))
+            hot = np.repeat(size >= FREQUENT, size)
+            lead = np.zeros(len(sig), dtype=bool)
+            lead[first] = True
+            slot = np.where(hot & ~lead, mix(sig ^ mix(node)), sig)
+            for a in range(0, len(sig), 100_000):
+                z = slice(a, a + 100_000)
+                yield pa.record_batch([pa.array(signed(slot[z])), pa.array(signed(node[z])), pa.array(part[z].astype(np.int32)), pa.array(signed(sig[z]), mask=~hot[z])], names=["slot", "node", "part", "own"])
+
         for batch in batches:
             texts = string_column(batch, "text")
             for lo, hi in chunks(texts):
                 values, bounds = shingle_sets(texts.slice(lo, hi - lo), n)
-                node = set_hashes(values, bounds)[0]
-                sig, owner = signatures(values, bounds, bands)
+                node, twin = set_hashes(values, bounds)
+                sig, owner, part = signatures(values, bounds, bands)
                 fresh = np.zeros(len(node), dtype=bool)
-                for i, v in enumerate(node.tolist()):
+                for i, v in enumerate(zip(node.tolist(), twin.tolist())):
                     if v not in seen:
                         seen.add(v)
                         fresh[i] = True
                 keep = fresh[owner]
-                sig, owner = sig[keep], owner[keep]
-                for a in range(0, len(sig), 100_000):
-                    yield pa.record_batch([pa.array(signed(sig[a : a + 100_000])), pa.array(signed(node[owner[a : a + 100_000]]))], names=["sig", "node"])
+                if keep.any():
+                    held.append((sig[keep], node[owner[keep]], part[keep]))
+                if sum(len(h[0]) for h in held) > 400_000:
+                    yield from flush()
+        if held:
+            yield from flush()
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+    return docs.select("text").mapInArrow(run, "slot long, node long, part int, own long")
 
 
 def _shared(published: DataFrame) -> DataFrame:
-    """``sig, center, node``: buckets of several nodes, each node beside the bucket's least one."""
+    """``sig, node, part`` of signatures that several nodes published."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig = last_node = center = None
+        held = None  # the only row so far of the running slot
+        several = last = None  # the running slot if it had several rows, and the row before
         for batch in batches:
-            sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(sig):
+            if not batch.num_rows:
+                continue
+            slot, node, part = (batch.column(i).to_numpy() for i in range(3))
+            own, known = batch.column(3).fill_null(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            fresh = np.concatenate(([(slot[0], node[0]) != last], (slot[1:] != slot[:-1]) | (node[1:] != node[:-1])))
+            last = (slot[-1], node[-1])
+            rows = [x[fresh] for x in (slot, node, part, own, known)]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            slot, node, part, own, known = rows
+            if not len(slot):
                 continue
-            new = np.concatenate(([sig[0] != last_sig], sig[1:] != sig[:-1]))
-            fresh = new | np.concatenate(([node[0] != last_node], node[1:] != node[:-1]))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            middle = np.where(at >= 0, node[np.maximum(at, 0)], center if center is not None else 0)
-            keep = fresh & ~new
+            first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+            size = np.diff(np.append(first, len(slot)))
+            many = size > 1
+            many[0] |= several is not None and slot[0] == several
+            many |= np.logical_or.reduceat(known, first)
+            keep = np.repeat(many, size)
+            held, several = (None, slot[-1]) if many[-1] else ([x[-1:] for x in rows], None)
             if keep.any():
-                yield pa.record_batch([pa.array(sig[keep]), pa.array(middle[keep]), pa.array(node[keep])], names=["sig", "center", "node"])
-            last_sig, last_node, center = sig[-1], node[-1], middle[-1]
+                yield pa.record_batch([pa.array(np.where(known, own, slot)[keep]), pa.array(node[keep]), pa.array(part[keep])], names=["sig", "node", "part"])
+
+    return published.repartition("slot").sortWithinPartitions("slot", "node").mapInArrow(run, "sig long, node long, part int")
+
 
-    return published.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, center long, node long")
+def _chosen(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """``sig, center, node, chosen``: buckets that a member has chosen, each row beside the least chooser."""
+    counts = materialize(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "join-counts")
+    spare = reps.groupBy("node").agg(*[F.min(c).alias(c) for c in ("subsets0", "more0", "subsets1", "more1")])
+    more, below = F.shiftright("part", 1) != 0, F.col("part").bitwiseAND(F.lit(1))
+    rows = shared.join(few(counts), "sig").withColumns({"more": more, "below": below}).withColumn("option", F.when(more, F.col("part").cast("long")).otherwise(F.col("sig")))
+    rows = rows.repartition("node").withColumn("cost", F.sum("n").over(Window.partitionBy("node", "below", "more", "option")))
+    place = F.dense_rank().over(Window.partitionBy("node", "below", "more").orderBy(F.col("cost").desc(), "option"))
+    rows = rows.withColumn("place", place).join(spare, "node")
+    may = F.when(F.col("more"), F.when(F.col("below") == 0, F.col("more0")).otherwise(F.col("more1"))).otherwise(F.when(F.col("below") == 0, F.col("subsets0")).otherwise(F.col("subsets1")))
+    members = materialize(rows.select("sig", "node", (F.col("place") > may).alias("chosen")), "join-members")
+    buckets = members.groupBy("sig").agg(F.min(F.when(F.col("chosen"), F.col("node"))).alias("center"), F.count(F.lit(1)).alias("n")).where("center is not null and n > 1")
+    buckets = materialize(buckets, "join-centers")
+    out = materialize(members.join(few(buckets), "sig").select("sig", "n", "center", "node", "chosen"), "join-buckets")
+    discard(counts, members, buckets)
+    return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of key pairs ``a, b`` those whose shingle sets are similar enough."""
+def _stored(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """``__key, set`` of the documents with these keys."""
 
+    @tidied
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = string_column(batch, "text")
             for lo, hi in chunks(texts):
                 values, bounds = shingle_sets(texts.slice(lo, hi - lo), n)
-                packed = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["__key", "set"])
+                packed = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(signed(values)))
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), packed], names=["__key", "set"])
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                good[i] = den * both >= num * (len(p) + len(q) - both)
-            yield pa.record_batch([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
-    packed = docs.select("__key", "text").join(needed, "__key", "left_semi").select("__key", "text").mapInArrow(sets, "__key long, set binary")
-    packed = materialize(packed, "join-sets")
-    left = pairs.join(packed.select(F.col("__key").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(packed.select(F.col("__key").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
-
-
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """``v, label``: the least vertex reachable from each vertex that has an edge ``a, b``.
-
-    Every round each vertex points to its least neighbour, pointers are followed three times over,
-    and edges are drawn anew between what they lead to, until none is left.
-    """
-    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    labels = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().select("v", F.col("v").alias("label"))
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("u"), F.least("a", "b").alias("p")), name)
-        for _ in range(2):
-            to = to.alias("x").join(to.alias("y"), F.expr("x.p = y.u")).select("x.u", "y.p")
-        to = materialize(to, name)
-        labels = materialize(labels.join(to, labels["label"] == to["u"], "left").select("v", F.coalesce("p", "label").alias("label")), name)
-        near = edges.join(to, edges["a"] == to["u"]).select(F.col("p").alias("a"), "b")
-        near = near.join(to, near["b"] == to["u"]).select("a", F.col("p").alias("b"))
-        edges = materialize(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    return labels
+    keys = materialize(keys.select("__key").distinct(), "join-keys")
+    out = materialize(docs.select("__key", "text").join(few(keys), "__key", "left_semi").mapInArrow(sets, "__key long, set array<long>"), "join-sets")
+    discard(keys)
+    return out
+
+
+def _verified(pairs: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
+    """Of written key pairs ``a, b`` those whose sets are similar enough, written."""
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct(), "join-keys")
+    own = stored.join(few(needed), "__key", "left_semi")
+    both = pairs.join(own.select(F.col("__key").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("__key").alias("b"), F.col("set").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), (F.size("x") + F.size("y")).cast("long").alias("all"))
+    out = materialize(both.where(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("all") - F.col("both"))).select("a", "b"), "join-edges")
+    discard(needed)
+    return out
 
 
 def _across(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs ``a, b`` of bucket members of different components that size and sketch don't refute.
 
-    ``members``: sig, comp, rep, size and the sketch. Refuted pairs never leave the task. ``forest``
-    gives only as many pairs of a bucket as would join its components if all of them held.
+    ``members``: sig, n, comp, rep, size, chosen and the sketch. One of a pair must have chosen the
+    bucket. Refuted pairs never leave the task. ``forest`` gives only as many pairs of a block as would
+    join its components if all of them held.
     """
 
     def pairs(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        comp, rep, size, sketch = (np.concatenate(x) for x in zip(*rows))
+        comp, rep, size, chosen, sketch = (np.concatenate(x) for x in zip(*rows))
         a, b = [], []
         for i in range(len(rep) - 1):
             other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            if not chosen[i]:
+                other = other[chosen[other]]
+            if not len(other):
+                continue
             both = size[other] + size[i]
             apart = both - 2 * -(-num * both // (num + den))
             other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1) <= apart]
-            if forest:
+            if forest and len(other):
                 found, where = np.unique(comp[other], return_index=True)
                 other = other[where]
                 comp[np.isin(comp, found)] = comp[i]
@@ -284,89 +374,112 @@ def _across(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
             b.append(rep[other])
         return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         current, sent = None, set()
 
         def flush():
             a, b = pairs(held) if sum(len(h[1]) for h in held) > 1 else ((), ())
-            new = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()) if p not in sent] if len(a) else []
+            new = [p for p in dict.fromkeys(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) if p not in sent] if len(a) else []
             if new:
-                if len(sent) > 1_000_000:
+                if len(sent) > 100_000:
                     sent.clear()
                 sent.update(new)
                 yield pa.record_batch([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            sig, comp, rep, size = (batch.column(i).to_numpy() for i in range(4))
-            sketch = np.stack([batch.column(4 + i).to_numpy() for i in range(len(SKETCH))], axis=1).view(np.uint64) if len(sig) else None
-            cut = np.concatenate(([0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)])) if len(sig) else []
+            if not batch.num_rows:
+                continue
+            cell, comp, rep, size = (batch.column(i).to_numpy() for i in range(4))
+            chosen = batch.column(4).to_numpy(zero_copy_only=False)
+            sketch = np.stack([batch.column(5 + i).to_numpy() for i in range(len(SKETCH))], axis=1).view(np.uint64)
+            cut = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
             for lo, hi in zip(cut[:-1], cut[1:]):
-                if sig[lo] != current:
+                if cell[lo] != current:
                     yield from flush()
-                    held, current = [], sig[lo]
-                held.append((comp[lo:hi], rep[lo:hi], size[lo:hi], sketch[lo:hi]))
+                    held, current = [], cell[lo]
+                held.append((comp[lo:hi], rep[lo:hi], size[lo:hi], chosen[lo:hi], sketch[lo:hi]))
         yield from flush()
 
-    ordered = members.select("sig", "comp", "rep", "size", *SKETCH).repartition("sig").sortWithinPartitions("sig", "rep")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    split = members.withColumn("blocks", blocks).withColumn("block", own)
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
+    split = split.withColumn("other", F.explode(other)).withColumn("cell", F.when(F.col("blocks") == 1, F.col("sig")).otherwise(F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other"))))
+    ordered = split.select("cell", "comp", "rep", "size", "chosen", *SKETCH).repartition("cell").sortWithinPartitions("cell", "rep")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``__key, doc_id, size, comp`` of every row of keyed documents; no ``comp`` where there are no words."""
-    sets = materialize(_sets(docs, n), "join-nodes")
+def _placed(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of keyed documents, one row each with size and set hashes; and of each set the least row of its component.
+
+    The second: ``node, twin, kept`` with ``kept`` a struct of (no id, doc_id, __key).
+    """
+    sets = materialize(_sets(docs, n, num, den), "join-nodes")
     # A node is a set hash; a representative is the least row of a set (two sets with one hash differ in ``twin``).
-    reps = sets.where("size > 0").groupBy("node", "twin").agg(F.min("__key").alias("rep"), F.max("size").alias("size"), *[F.max(k).alias(k) for k in SKETCH])
-    reps = materialize(reps, "join-reps")
-    shared = materialize(_shared(_published(docs, n, num, den)), "join-buckets")
+    numbers = ["size", "subsets0", "more0", "subsets1", "more1", *SKETCH]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("least")
+    reps = materialize(sets.where("size > 0").groupBy("node", "twin").agg(F.min("__key").alias("rep"), least, *[F.max(k).alias(k) for k in numbers]), "join-reps")
+    shared = materialize(_shared(_published(docs, n, num, den)), "join-shared")
+    members = _chosen(shared, reps)
+    discard(shared)
+
+    # Two sets with one hash are a candidate pair of their own.
+    twins = reps.alias("x").join(reps.alias("y"), F.expr("x.node = y.node and x.twin < y.twin")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    twins = materialize(twins, "join-twins")
+    keys = reps.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("__key")).unionByName(twins.select(F.explode(F.array("a", "b")).alias("__key")))
+    stored = _stored(docs, keys, n)
 
     def by_rep(pairs: DataFrame) -> DataFrame:
         """Node pairs to pairs of representatives that neither size nor sketch refutes."""
         left = reps.select(F.col("node").alias("center"), F.col("rep").alias("a"), F.col("size").alias("na"), *[F.col(k).alias(f"a{k}") for k in SKETCH])
         right = reps.select("node", F.col("rep").alias("b"), F.col("size").alias("nb"), *[F.col(k).alias(f"b{k}") for k in SKETCH])
         apart = " + ".join(f"bit_count(a{k} ^ b{k})" for k in SKETCH)
-        p = pairs.join(left, "center").join(right, "node").where(f"{apart} <= {most_apart('na', 'nb', num, den)}")
+        p = pairs.join(left, "center").join(right, "node").where(f"a <> b and {apart} <= {most_apart('na', 'nb', num, den)}")
         return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    # Two sets with one hash are a candidate pair of their own.
-    twins = reps.alias("x").join(reps.alias("y"), F.expr("x.node = y.node and x.twin < y.twin")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    tried = materialize(by_rep(shared.select("center", "node").distinct()).unionByName(twins).distinct(), "join-tried")
-    edges = materialize(_verified(tried, docs, n, num, den), "join-edges")
+    tried = materialize(by_rep(members.where("center <> node").select("center", "node").distinct()).unionByName(twins).distinct(), "join-tried")
+    edges = _verified(tried, stored, num, den)
     labels = components(edges)
 
     # What the stars left open: pairs of one bucket in different components.
-    buckets = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.first("center").alias("center")).where("n > 1")
-    members = materialize(shared.join(buckets.select("sig"), "sig", "left_semi").select("sig", "node").unionByName(buckets.select("sig", F.col("center").alias("node"))), "join-members")
-    forest = True
+    forest, states = True, [tried, edges]
     while True:
         named = materialize(reps.join(labels, reps["rep"] == labels["v"], "left").select("node", "rep", "size", F.coalesce("label", "rep").alias("comp"), *SKETCH), "join-named")
-        mixed = members.join(named.select("node", "comp"), "node").groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-        rest = _across(members.join(mixed, "sig", "left_semi").join(named, "node"), num, den, forest)
+        mixed = materialize(members.join(named.select("node", "comp"), "node").groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig"), "join-mixed")
+        rest = _across(members.join(few(mixed), "sig", "left_semi").join(named, "node"), num, den, forest)
         rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "join-rest")
+        discard(named, mixed)
+        states.append(rest)
         if rest.isEmpty() and forest:
             forest = False  # what refuted or failed pairs have hidden from the forests
             continue
         if rest.isEmpty():
             break
-        more = materialize(_verified(rest, docs, n, num, den), "join-edges")
+        more = _verified(rest, stored, num, den)
+        states.append(more)
         tried = tried.unionByName(rest)
         if not more.isEmpty():
             edges = edges.unionByName(more)
+            discard(labels)
             labels = components(edges)
         if not forest:
             break
 
-    named = reps.join(labels, reps["rep"] == labels["v"], "left").select("node", "twin", F.coalesce("label", "rep").alias("comp"))
-    return sets.join(named, ["node", "twin"], "left").select("__key", "doc_id", "size", "comp")
+    best = materialize(labels.join(reps, labels["v"] == reps["rep"]).groupBy("label").agg(F.min("least").alias("best")), "join-best")
+    found = materialize(labels.join(few(best), "label").select("v", "best"), "join-found")
+    placed = materialize(reps.join(found, reps["rep"] == found["v"], "left").select("node", "twin", F.coalesce("best", "least").alias("kept")), "join-placed")
+    discard(members, stored, twins, labels, best, found, reps, *states)
+    return sets.select("__key", "doc_id", "size", "node", "twin"), placed
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     docs, _ = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "join-docs")
-    placed = _placed(docs, n, num, den)
-    least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    placed = placed.join(least, "comp", "left")
-    return placed.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    sets, placed = _placed(docs, n, num, den)
+    out = sets.join(placed, ["node", "twin"], "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("kept").isNotNull(), F.col("kept.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -375,7 +488,26 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     Documents with no words are not linked with anything and all stay.
     """
     keys, _ = keyed(docs, "join-docs")
-    placed = _placed(keys.select("__key", F.col("doc_id").cast("long").alias("doc_id"), "text"), n, num, den).where("comp is not null")
-    kept = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("kept")).select("comp", F.col("kept.__key").alias("kept"))
-    drop = placed.join(kept, "comp").where("__key <> kept").select(F.col("__key").alias("__drop"))
-    return keys.join(drop, keys["__key"] == drop["__drop"], "left_anti").select(*docs.columns)
+    sets, placed = _placed(keys.select("__key", F.col("doc_id").cast("long").alias("doc_id"), "text"), n, num, den)
+    drop = sets.join(placed, ["node", "twin"]).where("__key <> kept.__key").select("__key")
+    return without(keys, drop, "__key", "join-drop").select(*docs.columns)
+
+
+def oracle_sql(n: int = 4, num: int = 85, den: int = 100) -> str:
+    """All pairs that share a shingle, their links, and what each document reaches."""
+    return rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < {n} then [array_to_string(w, ' ')]
+                      else list_distinct(list_transform(generate_series(1, len(w) - {n - 1}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) end as g from d),
+e as materialized (select doc_id, len(g) as n, unnest(g) as h from s),
+shared as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as nx, any_value(b.n) as ny, count(*) as c from e a join e b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+links as materialized (select x, y from shared where {den} * c >= {num} * (nx + ny - c)),
+ways as materialized (select x, y from links union all select y, x from links),
+reach as (select doc_id as root, doc_id as id from s union select r.root, w.y from reach r join ways w on w.x = r.id)
+select s.doc_id, len(s.g)::bigint as n_shingles, min(r.id) as component_id from s join reach r on r.root = s.doc_id group by 1, 2
+"""
+
+
+ORACLE_SQL = oracle_sql()

@@ -94,20 +94,6 @@ def test_jaccard_edge_cases(spark):
     assert setjoin.jaccard_components(documents(spark, EDGE).limit(0)).count() == 0
 
 
-def test_short_sets_are_found_through_deletions():
-    """Whatever the segments, linked sets share a signature."""
-    rng, bands = np.random.default_rng(1), setjoin.Bands(85, 100)
-    for size in (7, 9, 12, 14, 20, 40):
-        for _ in range(60):
-            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
-            most = size + size - 2 * -(-85 * 2 * size // 185)
-            b = a.copy()
-            b[: most // 2] = rng.integers(0, 1 << 63, most // 2, dtype=np.uint64)
-            b = np.unique(b)
-            sig, owner = setjoin.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
-            assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
-
-
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(2)
     a, b = (np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(2))
