@@ -367,18 +367,21 @@ def _answers(asked: DataFrame, window: int) -> DataFrame:
 
 def _factored(docs: DataFrame, window: int, anchor: int, schema: str, rows_of) -> DataFrame:
     """Parse every document; ``rows_of(doc_id, words, factors)`` makes the result's rows."""
-    docs, _ = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "substring")
+    docs, own = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "substring")
     marks = _referred(_blocks(docs, window, anchor))
     marks = materialize(marks.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("at", "hashed", "ref_key", "ref_at"))).alias("marks")), "substring-marks")
-    # One exchange of the texts serves all that follows.
-    texts = docs.select("__key", "doc_id", "text")
+    # One exchange of the texts serves all that follows: all ask for the same two columns, and for keys
+    # that are not null, as an inner join would (none is).
+    texts = docs.select("__key", "text").where("__key is not null")
     told = texts.join(marks, "__key", "left")
     found = _referred(_windows(told, window, anchor)).where("ref_key is not null")
     found = found.groupBy("__key").agg(F.collect_list(F.struct("at", "ref_key", "ref_at")).alias("found"))
     told = told.join(found, "__key", "left")
     asked = texts.join(_questions(told, window, anchor), F.col("__key") == F.col("ref_key"))
     stretches = _answers(asked, window).groupBy("__key").agg(F.collect_list(F.struct("at", "n", "ref_key", "ref_at")).alias("stretches"))
-    told = told.join(stretches, "__key", "left").select("doc_id", "text", "marks", "found", "stretches")
+    told = told.join(stretches, "__key", "left")
+    told = told.withColumn("doc_id", F.col("__key")) if own else told.join(docs.select("__key", "doc_id"), "__key")
+    told = told.select("doc_id", "text", "marks", "found", "stretches")
     out = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string()}[c.split()[1]]) for c in schema.split(", ")])
 
     @tidied
