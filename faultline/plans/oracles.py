@@ -339,4 +339,13 @@ select cast(split_part(tv.id, '|', 1) as bigint) as snap_id, split_part(tv.id, '
 f as (select * from e join p using (id) join b using (id) join c using (id)),
 s as (select id, ({' + '.join(scaled.format(c=x) for x in ('betweenness', 'eigenvector', 'pagerank', 'coreness'))}) / 4 as score from f)
 select id, round(score, 6) as score from s order by s.score desc, id limit 5"""
+    far = [f"d{k} as materialized (select root, id, min(d) as d from (select * from d{k - 1} union all select p.root, te.dst, p.d + te.w from d{k - 1} p join te on te.src = p.id) group by 1, 2)" for k in range(1, 2 * DEPTH + 1)]
+    o["betweenness_weighted"] = "with recursive " + TRADE + ",\nd0 as materialized (select id as root, id, 0.0::double as d from tv),\n" + ",\n".join(far) + f""",
+ds0 as materialized (select * from d{2 * DEPTH}),
+steps as materialized (select q.root, te.src, te.dst from ds0 p join te on te.src = p.id join ds0 q on q.root = p.root and q.id = te.dst and p.d + te.w = q.d),
+ways as (select id as root, id from tv union all select w.root, s.dst from ways w join steps s on s.root = w.root and s.src = w.id),
+ds as materialized (select * from ds0 join (select root, id, count(*)::double as c from ways group by 1, 2) using (root, id)),
+n as (select count(*)::double as n from tv),
+b as (select x.id as v, sum(x.c * y.c / st.c) as s from ds st join ds x on x.root = st.root join ds y on y.root = x.id and y.id = st.id where st.id <> st.root and x.id <> st.root and x.id <> st.id and abs(x.d + y.d - st.d) < 1e-7 group by 1)
+select tv.id, round(coalesce(b.s, 0.0) / ((n - 1) * (n - 2)), 6) as betweenness from tv cross join n left join b on b.v = tv.id"""
     return o
