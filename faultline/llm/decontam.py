@@ -9,6 +9,10 @@ over unchanged ones (tests check this), so the result equals an exhaustive compa
 
 Tokens are lower-cased runs of characters other than ASCII white space and punctuation.
 
+Only ids and positions of hits are shuffled: the seeds of the items are broadcast if a count shows that
+they are few, and the documents that are laid against items are found again by their ids, again by a
+broadcast if those are few. Beyond ``storage.BROADCAST_ROWS`` both are joined by a shuffle.
+
 Defined results: items of fewer than ``WINDOW`` tokens must occur whole, those of ``SHORT`` tokens or
 more with at most ``loose`` replaced (none unless asked for), shorter ones exactly; items of fewer than
 ``short`` tokens match nothing (the registered query and the pipeline take ``short=1, loose=1``); null and empty texts have no tokens; repeated rows with one
@@ -23,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import few, materialize, without
+
 WINDOW = 13
 SUBSTITUTIONS = 2
 SHORT = 8
@@ -63,27 +69,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, su
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") >= short)
     hashed = items.select("item_id", F.size("item").alias("n"), F.transform("item", lambda w: F.xxhash64(w)).alias("hashes"))
-    words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    theirs = words.select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    theirs = docs.select("doc_id", F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
 
-    seeds = _places(hashed.where(F.col("n") >= window), "item_id", masks)
+    hashed = materialize(hashed, "leak-items")
+    seeds = few(materialize(_places(hashed.where(F.col("n") >= window), "item_id", masks), "leak-seeds"))
     hits = _places(theirs, "doc_id", masks).alias("d").join(seeds.alias("i"), ["mask", "seed"])
     hits = hits.select("doc_id", "item_id", (F.col("d.at") - F.col("i.at")).alias("shift"))
     # Short items are cut into one piece more than tokens may be replaced, so one piece is unchanged.
-    few = hashed.where(F.col("n") < window)
+    little = hashed.where(F.col("n") < window)
     pieces: dict[int, list[tuple[int, int]]] = {}
-    for n in sorted(r.n for r in few.select("n").distinct().collect()):  # fewer than ``window`` numbers
+    for n in sorted(r.n for r in little.select("n").distinct().collect()):  # fewer than ``window`` numbers
         cuts = [n * i // (_loose(n, loose) + 1) for i in range(_loose(n, loose) + 2)]
         for at, end in zip(cuts, cuts[1:]):
             pieces.setdefault(end - at, []).append((n, at))
     for width, places in pieces.items():
         mask = ("1" * width,)
-        parts = [_places(few.where(F.col("n") == n), "item_id", mask).where(F.col("at") == at) for n, at in places]
-        pieces_of_width = reduce(DataFrame.unionByName, parts)
+        parts = [_places(little.where(F.col("n") == n), "item_id", mask).where(F.col("at") == at) for n, at in places]
+        pieces_of_width = few(materialize(reduce(DataFrame.unionByName, parts), "leak-seeds"))
         short_hits = _places(theirs, "doc_id", mask).alias("d").join(pieces_of_width.alias("i"), ["mask", "seed"])
         hits = hits.unionByName(short_hits.select("doc_id", "item_id", (F.col("d.at") - F.col("i.at")).alias("shift")))
-    hits = hits.distinct()
+    hits = materialize(hits.distinct(), "leak-hits")
+    hit_ids = materialize(hits.select(F.col("doc_id").alias("__hit")).distinct(), "leak-ids")
 
+    words = docs.join(few(hit_ids), docs["doc_id"].eqNullSafe(hit_ids["__hit"]), "left_semi").select("doc_id", tokens(F.col("text")).alias("words"))
     laid = words.alias("w").join(hits.alias("h"), F.expr("w.doc_id <=> h.doc_id")).select("h.doc_id", "h.item_id", "h.shift", "w.words")
     laid = laid.alias("l").join(items.alias("i"), F.expr("l.item_id <=> i.item_id")).select("l.doc_id", "l.item_id", "l.shift", "l.words", "i.item")
     same = F.transform("item", lambda w, j: F.coalesce((F.when(F.col("shift") + j >= 0, F.get("words", F.col("shift") + j)) == w).cast("int"), F.when((F.col("shift") + j < 0) | (F.col("shift") + j >= F.size("words")), F.lit(-window)).otherwise(F.lit(0))))
@@ -98,8 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, su
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that no item contaminates, unchanged."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    return without(docs, contaminated(docs, benchmark, **how).select("doc_id"), "doc_id", "leak-bad")
 
 
 #: With two of thirteen tokens replaced, four neighbours are still unchanged: candidates by 4-grams.
