@@ -1,6 +1,7 @@
 """WARC archives as a PySpark Python data source.
 
-Reading plans one partition a file, pushes predicates on record type and header columns into the
+Reading plans the files' splits (the writer notes where records start, every ``SPLIT_BYTES``; a foreign
+file is one split), pushes predicates on record type and header columns into the
 scan, parses a record's headers first and decodes its payload only if the record is wanted and the
 schema asks for it. Compressed archives hold one gzip member a record; the writer notes each member's
 compressed length in the gzip header (subfield ``sl``), so an unwanted record is stepped over after
@@ -32,6 +33,8 @@ from pyspark.sql.types import StructType
 from .storage import shared_folder
 
 SMALL = 100
+#: An archive is read in pieces of about this size, each by a task of its own.
+SPLIT_BYTES = 32_000_000
 SCHEMA = "record_id string, record_type string, page_id long, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 #: Columns whose values stand in the record's headers, and so can be tested before decoding.
 HEADER_COLUMNS = ("record_id", "record_type", "page_id", "target_uri", "payload_digest", "payload_bytes", "refers_to")
@@ -91,8 +94,8 @@ def header_row(h: dict[str, str]) -> dict:
 class _Plain:
     """Records of an uncompressed archive."""
 
-    def __init__(self, source) -> None:
-        self.source, self.size, self.at = source, source.size(), 0
+    def __init__(self, source, start: int = 0, stop: int | None = None) -> None:
+        self.source, self.size, self.at = source, source.size() if stop is None else stop, start
 
     def __iter__(self):
         while self.at < self.size:
@@ -117,8 +120,8 @@ class _Plain:
 class _Gzip:
     """Records of an archive of gzip members; steps over unwanted ones by their noted length."""
 
-    def __init__(self, source) -> None:
-        self.source, self.size, self.at = source, source.size(), 0
+    def __init__(self, source, start: int = 0, stop: int | None = None) -> None:
+        self.source, self.size, self.at = source, source.size() if stop is None else stop, start
 
     def __iter__(self):
         while self.at < self.size:
@@ -168,15 +171,23 @@ def http_payload(headers: dict[str, str], block: bytes) -> bytes | None:
 
 # --- data source ------------------------------------------------------------------------------
 
+def _located(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+
+
 @dataclass
 class ArchiveFile(InputPartition):
     path: str
+    start: int = 0
+    stop: int | None = None
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    name: str | None
     records: int
+    starts: list[int]
+    size: int
 
 
 class WarcReader(DataSourceReader):
@@ -202,18 +213,18 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        fs, path = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
+        fs, path = _located(self.path)
         prefix = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
         listed = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
         manifests = [x.path for x in listed if x.base_name.startswith("_manifest-")]
-        if manifests:
-            names = []
-            for m in manifests:
-                with fs.open_input_file(m) as f:
-                    names += json.loads(f.read())
-        else:
-            names = [prefix + x.path for x in listed if x.base_name.endswith((".warc", ".warc.gz"))]
-        return [ArchiveFile(n) for n in sorted(names)] or [ArchiveFile("")]
+        if not manifests:
+            return [ArchiveFile(prefix + x.path) for x in sorted(listed, key=lambda x: x.path) if x.base_name.endswith((".warc", ".warc.gz"))] or [ArchiveFile("")]
+        pieces = []
+        for m in manifests:
+            with fs.open_input_file(m) as f:
+                for name, starts, size in json.loads(f.read()):
+                    pieces += [ArchiveFile(f"{self.path.rstrip('/')}/{name}", a, z) for a, z in zip(starts, [*starts[1:], size])]
+        return sorted(pieces, key=lambda p: (p.path, p.start)) or [ArchiveFile("")]
 
     def wanted(self, row: dict) -> bool:
         for name, how, value in self.tests:
@@ -225,10 +236,10 @@ class WarcReader(DataSourceReader):
     def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        fs, path = pafs.FileSystem.from_uri(partition.path) if "://" in partition.path else (pafs.LocalFileSystem(), partition.path)
+        fs, path = _located(partition.path)
         rows, held = [], 0
         with fs.open_input_file(path) as source:
-            records = _Gzip(source) if source.read(2) == b"\x1f\x8b" else _Plain(source)
+            records = (_Gzip if source.read(2) == b"\x1f\x8b" else _Plain)(source, partition.start, partition.stop)
             for headers, block in records:
                 row = header_row(headers)
                 if not self.wanted(row):
@@ -258,31 +269,35 @@ class WarcWriter(DataSourceArrowWriter):
         self.date = options.get("date", "1970-01-01T00:00:00Z")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        name, out, n = f"{self.path}/part-{uuid.uuid4().hex}.warc" + (".gz" if self.packed else ""), None, 0
+        name, out, n, at, starts = f"part-{uuid.uuid4().hex}.warc" + (".gz" if self.packed else ""), None, 0, 0, [0]
         for batch in iterator:
             for r in batch.to_pylist():
                 if out is None:
-                    fs, path = pafs.FileSystem.from_uri(name) if "://" in name else (pafs.LocalFileSystem(), name)
+                    fs, path = _located(f"{self.path}/{name}")
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     out = fs.open_output_stream(path, compression=None)
                 data = record_bytes(r["record_type"], r["page_id"], r["target_uri"], r["payload_digest"], r["payload_bytes"], r["refers_to"], r["payload"] or b"", self.date)
-                out.write(gzip_member(data) if self.packed else data)
+                data = gzip_member(data) if self.packed else data
+                if at - starts[-1] >= SPLIT_BYTES:
+                    starts.append(at)
+                out.write(data)
+                at += len(data)
                 n += 1
         if out is not None:
             out.close()
-        return Written(name if n else None, n)
+        return Written(name if n else None, n, starts, at)
 
     def commit(self, messages) -> None:
-        """Only files of successful tasks enter the manifest, and only those are read."""
-        fs, path = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
+        """Only files of successful tasks enter the manifest, and only those are read; by name, so a folder may move."""
+        fs, path = _located(self.path)
         fs.create_dir(path, recursive=True)
         with fs.open_output_stream(f"{path}/_manifest-{uuid.uuid4().hex}") as f:
-            f.write(json.dumps([m.path for m in messages if m and m.path]).encode())
+            f.write(json.dumps([(m.name, m.starts, m.size) for m in messages if m and m.name]).encode())
 
     def abort(self, messages) -> None:
         for m in messages:
-            if m and m.path:
-                fs, path = pafs.FileSystem.from_uri(m.path) if "://" in m.path else (pafs.LocalFileSystem(), m.path)
+            if m and m.name:
+                fs, path = _located(f"{self.path}/{m.name}")
                 fs.delete_file(path)
 
 
