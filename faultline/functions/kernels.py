@@ -297,13 +297,26 @@ def _through(graph: dict, attached: set, inner: set) -> list:
 
 
 def planar_filter(edges: list[tuple], n: int) -> list[tuple]:
-    """Edges (already ascending) kept as long as the graph stays planar, at most 3(n - 2)."""
+    """Edges (already ascending) kept as long as the graph stays planar, at most 3(n - 2).
+
+    An edge between two components always fits; any other is tested within its own component.
+    """
     kept: list[tuple] = []
+    sets = Union()
+    inside: dict = defaultdict(list)
     for e in edges:
-        if is_planar([x[:2] for x in kept] + [e[:2]]):
-            kept.append(e)
-            if len(kept) >= 3 * (n - 2):
-                break
+        a, b = sets.find(e[0]), sets.find(e[1])
+        if a != b:
+            own = inside.pop(a, []) + inside.pop(b, []) + [e[:2]]
+            sets.join(a, b)
+            inside[sets.find(a)] = own
+        elif is_planar([*inside[a], e[:2]]):
+            inside[a].append(e[:2])
+        else:
+            continue
+        kept.append(e)
+        if len(kept) >= 3 * (n - 2):
+            break
     return kept
 
 
@@ -361,26 +374,36 @@ def louvain(edges: list[tuple], vertices: list) -> dict:
 
 
 def greedy_modularity(edges: list[tuple], vertices: list) -> dict:
-    """Merge the pair of communities of largest modularity gain until none is positive."""
-    pairs = {frozenset(e[:2]) for e in edges if e[0] != e[1]}
+    """Merge the pair of communities of largest modularity gain until none is positive.
+
+    Gains wait in a heap; a merge changes those of one community alone, and outdated ones are skipped.
+    """
+    names = sorted(vertices)
+    number = {v: i for i, v in enumerate(names)}
+    pairs = {(min(p), max(p)) for p in ((number[e[0]], number[e[1]]) for e in edges) if p[0] != p[1]}
     m = len(pairs)
-    owner = {v: v for v in vertices}
-    if not m:
-        return _by_size(owner)
     near: dict = defaultdict(lambda: defaultdict(float))
     share: dict = defaultdict(float)
-    for p in pairs:
-        a, b = sorted(p)
+    for a, b in sorted(pairs):
         near[a][b] += 1 / (2 * m)
         near[b][a] += 1 / (2 * m)
         share[a] += 1 / (2 * m)
         share[b] += 1 / (2 * m)
-    members = {v: [v] for v in vertices}
-    while True:
-        best = max(((2 * (e - share[a] * share[b]), a, b) for a in near for b, e in near[a].items() if a < b), key=lambda t: (t[0], t[1], t[2]), default=None)
-        if best is None or best[0] <= 1e-15:
+
+    def entry(a: int, b: int) -> tuple[float, int, int]:
+        a, b = min(a, b), max(a, b)
+        return -2 * (near[a][b] - share[a] * share[b]), -a, -b
+
+    heap = [entry(a, b) for a, b in pairs]
+    heapq.heapify(heap)
+    members = {i: [v] for i, v in enumerate(names)}
+    while heap:
+        told = heapq.heappop(heap)
+        a, b = -told[1], -told[2]
+        if a not in near or b not in near[a] or entry(a, b) != told:
+            continue
+        if -told[0] <= 1e-15:
             break
-        _, a, b = best
         for c, e in near.pop(b).items():
             near[c].pop(b, None)
             if c != a:
@@ -389,6 +412,8 @@ def greedy_modularity(edges: list[tuple], vertices: list) -> dict:
         near[a].pop(a, None)
         share[a] += share.pop(b)
         members[a] += members.pop(b)
+        for c in near[a]:
+            heapq.heappush(heap, entry(a, c))
     return _by_size({v: c for c, vs in members.items() for v in vs})
 
 
