@@ -91,6 +91,31 @@ def test_a_long_path_is_one_component(spark):
     assert paths.components(g).select("component").distinct().count() == 1
 
 
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_in_one_task_and_in_rounds(spark, small):
+    import random
+
+    from faultline.plans.iterate import least_reachable
+
+    rng = random.Random(4)
+    path = list(range(700, 1100))
+    rng.shuffle(path)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 650)] + list(zip(path, path[1:])) + [(2000, 2000 + i) for i in range(1, 60)] + [(5, 5)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    got = least_reachable(spark.createDataFrame(edges, "a long, b long"), small=small).collect()
+    assert {r.v: r.label for r in got} == want and len(got) == len(want)
+
+
 def test_pagerank_sums_to_one(spark):
     g = graph(spark, [("a", "b", 1), ("b", "a", 1), ("c", "a", 2)], True, ["a", "b", "c", "d"])
     assert metrics.pagerank(g).agg(F.sum("pagerank")).first()[0] == pytest.approx(1.0)
