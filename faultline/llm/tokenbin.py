@@ -30,9 +30,9 @@ from .text import _BYTE, _BYTE2, _Powers, chunks, mix, raw_bytes, string_column
 
 MAGIC = b"FLTOKEN1"
 BLOCK_IDS = 65_536
-#: Distinct text units remembered within a task, and their ids; beyond either it starts afresh.
-CACHE_UNITS = 400_000
-CACHE_IDS = 2_000_000
+#: Distinct text units a worker remembers, and their ids (40 MB together); beyond either it starts afresh.
+CACHE_UNITS = 800_000
+CACHE_IDS = 4_000_000
 CHUNK_BYTES = 1_000_000
 
 
@@ -163,7 +163,7 @@ class UnitEncoder:
 
     A byte-level vocabulary cuts a text before every single space that stands between two
     characters that are not white space, so the ids of a text are those of its units in turn.
-    Units are told apart by 128 bits of hash; their ids are kept in arrays until ``forget``.
+    Units are told apart by 128 bits of hash; their ids are kept in arrays, within bounds.
 
     What the cuts rely on is checked in the file: no normalizer, the byte-level pre-tokenizer with its
     usual pattern, plain merges, special tokens written ``<|name|>``. Any other vocabulary is left to the
@@ -308,6 +308,17 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+_ENCODERS: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
+    """The worker's encoder of the vocabulary file it has used last; what it remembers is bounded."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = UnitEncoder(path)
+    return _ENCODERS[path]
+
+
 # --- operator ---------------------------------------------------------------------------------
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
@@ -323,7 +334,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = 2, kind:
     @tidied
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, path = attempt_name(folder, ".tok")
-        enc, out, n_docs = UnitEncoder(vocabulary), None, 0  # a task's own, so nothing stays in the worker
+        enc, out, n_docs = encoder(vocabulary), None, 0
         for batch in batches:
             texts, keys = string_column(batch, "text"), batch.column(batch.schema.get_field_index("doc_id"))
             for lo, hi in chunks(texts, CHUNK_BYTES):
@@ -335,7 +346,6 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = 2, kind:
                     out = TokenWriter(open_output(path), enc.width, kind)
                 out.add(keys.slice(lo, hi - lo), ids, lengths)
                 n_docs += hi - lo
-        del enc
         if out is not None:
             out.close()
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([n_docs], pa.int64()), pa.array([out.total], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
