@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sample import SAMPLE_DOCS, adam, fold, labelled_features, sigmoid
-from .storage import tidied
+from .storage import tidied, tidy
 from .text import Words, chunks, string_column
 
 VOCABULARY = 1 << 14
@@ -169,6 +169,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, t
 
     y, packed = labelled_features(docs, labels, "quality", fold(F.col("doc_id"), folds) != held, features, limit)
     net = fit(y, np.frombuffer(b"".join(packed), dtype=np.float32).reshape(len(y), 3 * DIMS + 1))
+    tidy()
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

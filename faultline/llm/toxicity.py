@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sample import SAMPLE_DOCS, adam, fold, labelled_features, sigmoid
-from .storage import tidied
+from .storage import tidied, tidy
 from .text import Words, chunks, string_column
 
 BUCKETS = 1 << 18
@@ -104,17 +104,17 @@ def telling_pairs(y: np.ndarray, owner: np.ndarray, bucket: np.ndarray, frequent
     support = max(8, support * len(y))
     overall = np.float32(y.mean() * (1 - y.mean()))
     seen = np.bincount(bucket, minlength=BUCKETS)
-    chosen = np.argsort(-seen, kind="stable")[:frequent]
+    chosen = np.argsort(-seen, kind="stable")[: min(frequent, 1 << 15)]
     chosen = chosen[seen[chosen] >= support]
     if len(chosen) < 2:
         return np.empty(0, dtype=np.int64)
-    row = np.full(BUCKETS, -1, dtype=np.int64)
+    row = np.full(BUCKETS, -1, dtype=np.int16)
     row[chosen] = np.arange(len(chosen))
     at = row[bucket]
     bits, marginal = [], []
     for label in (1, 0):
         docs = np.flatnonzero(y == label)
-        place = np.full(len(y), -1, dtype=np.int64)
+        place = np.full(len(y), -1, dtype=np.int32)
         place[docs] = np.arange(len(docs))
         here = (at >= 0) & (place[owner] >= 0)
         present = np.zeros((len(chosen), -(-len(docs) // 64) * 64), dtype=bool)
@@ -150,7 +150,7 @@ def fit(labels: np.ndarray, packed: list[bytes], terms: int = TERMS, factors: in
     if not len(y) or y.min() == y.max():
         constant = 60.0 if len(y) and y.min() == 1 else -60.0
         return FactorizationMachine(slots, constant, np.zeros(1), np.zeros((1, factors)))
-    owner = np.repeat(np.arange(len(y)), [len(p) // 4 for p in packed])
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), [len(p) // 4 for p in packed])
     bucket = np.frombuffer(b"".join(packed), dtype=np.int32)
     n1, n0 = y.sum(), len(y) - y.sum()
     best = np.union1d(telling_terms(y, owner, bucket, terms), telling_pairs(y, owner, bucket, frequent, pairs))
@@ -177,7 +177,9 @@ def fit(labels: np.ndarray, packed: list[bytes], terms: int = TERMS, factors: in
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, limit: int = SAMPLE_DOCS) -> FactorizationMachine:
-    return fit(*labelled_features(docs, labels, "toxic", F.lit(True) if usable is None else usable, packed_terms, limit))
+    model = fit(*labelled_features(docs, labels, "toxic", F.lit(True) if usable is None else usable, packed_terms, limit))
+    tidy()
+    return model
 
 
 SCORES = "doc_id long, score double"
