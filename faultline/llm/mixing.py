@@ -8,22 +8,27 @@ cut at the total budget. As a source reaches its target at time 1, the cut falls
 Prefix sums run in two levels. Rows are dealt to buckets of a range of keys (a hash prefix within a
 source, a range of virtual time overall); only the sums of buckets are ordered as a whole, and rows
 are ordered within their bucket. A source with a third of all rows is spread over as many buckets as
-its share, so no task gets more than a bucket.
+its share, so no task gets more than a bucket. What is taken of a source is all before some place, so
+a place a source and copy tells every document how often it is taken: texts are never shuffled.
 
 Defined results: size is the number of words (null text: 0). A null source is a source of its own,
-ordered last. Documents without words are never taken. Repeated rows are documents of their own.
-Sources without words have target 0. An empty table gives an empty result. Extra columns are dropped.
+ordered last. Documents without words are never taken. Repeated rows, and rows that share an id or
+have none, are documents of their own; their places follow from id and text, and of rows that agree in
+both it does not matter which is taken. Sources without words have target 0. An empty table gives an
+empty result. ``mix`` drops extra columns, ``mixed_documents`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import few, keyed, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 1_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -31,6 +36,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _place(seed: str, unique: bool) -> Column:
+    """A document's pseudo-random place within its source; ``__key`` tells rows of one place apart."""
+    parts = [F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
+    if not unique:
+        parts += [F.lit(":"), F.coalesce(F.xxhash64("text"), F.lit(0)).cast("string")]
+    return F.md5(F.concat(*parts))
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``source, rank, source_size, target``: weights in turn, capped at ``cap`` times the size.
 
@@ -56,56 +69,66 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return s.select("source", "rank", "source_size", F.coalesce(F.least(F.col("most"), F.col("level") * F.col("weight")), F.col("most")).alias("target"), "budget")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` and the first copy's finish time."""
-    spark = docs.sparkSession
-    n = docs.count()
+def _taken(docs: DataFrame, unique: bool, weights: tuple[float, ...], share: float, cap: int, seed: str, bucket_rows: int) -> tuple[DataFrame, Column, Column]:
+    """Of keyed documents: their places in the order, how often each is taken, and its first copy's finish time."""
+    sized = docs.select("__key", "doc_id", "source", word_count(F.col("text")).alias("size"), _place(seed, unique).alias("key"))
+    sized = materialize(sized, "mix-sizes")
+    n = sized.count()
     digits = next(k for k in range(16) if n <= bucket_rows * 16**k)
-    sized = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"))
-    sized = materialize(sized, "mix-sizes").withColumn("bucket", F.substring("key", 1, digits))
+    sized = sized.withColumn("bucket", F.substring("key", 1, digits))
 
     targets = source_targets(sized, weights, share, cap)
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     plan = sums.select("source", "bucket", before.alias("before")).alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select("t.*", "b.bucket", "b.before")
-    within = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "__key").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("inside", F.sum("size").over(within)).alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source and d.bucket = p.bucket"))
-    placed = placed.select("d.doc_id", "d.source", "d.size", "p.rank", "p.source_size", "p.target", "p.budget", (F.col("p.before") + F.col("d.inside")).alias("upto"))
+    placed = placed.select("d.__key", "d.doc_id", "d.source", "d.size", "d.key", "p.rank", "p.source_size", "p.target", "p.budget", (F.col("p.before") + F.col("d.inside")).alias("upto"))
     placed = materialize(placed, "mix-places")
 
+    def finish(epoch: int) -> Column:
+        return F.try_divide((F.col("source_size") * epoch + F.col("upto")).cast("double"), F.col("target"))
+
     # The cut: the last copy, in order of (finish, rank, epoch, place), within the budget.
     per_unit = max(1, round(n / bucket_rows))
-    copies = placed.where("size > 0").select("rank", "size", "upto", "budget", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), F.try_divide((F.col("source_size") * e + F.col("upto")).cast("double"), F.col("target")).alias("finish")) for e in range(cap)])).alias("c")).select("rank", "size", "upto", "budget", "c.*").withColumn("slot", F.floor(F.col("finish") * per_unit))
+    copies = placed.where("size > 0").select("rank", "size", "upto", "budget", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), finish(e).alias("finish")) for e in range(cap)])).alias("c")).select("rank", "size", "upto", "budget", "c.*").withColumn("slot", F.floor(F.col("finish") * per_unit))
     slots = copies.groupBy("slot").agg(F.sum("size").alias("slot_size"), F.max("budget").alias("budget"))
     upto_slot = F.sum("slot_size").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
     edge = slots.withColumn("upto_slot", upto_slot).where("upto_slot > budget").agg(F.min_by(F.struct("slot", (F.col("upto_slot") - F.col("slot_size")).alias("spent"), "budget"), "slot").alias("e")).first().e
     if edge is None:  # everything fits, or there is nothing
-        count = F.when(F.col("size") > 0, F.lit(cap)).otherwise(0)
+        takes = [F.lit(True)] * cap
     else:
         run = F.sum("size").over(Window.orderBy("finish", "rank", "epoch", "upto").rowsBetween(Window.unboundedPreceding, 0))
         last = copies.where(F.col("slot") == edge.slot).withColumn("run", run).where(F.col("run") + edge.spent <= edge.budget).agg(F.max(F.struct("finish", "rank", "epoch", "upto")).alias("m")).first().m
         end = (last.finish, last.rank, last.epoch, last.upto) if last else (edge.slot / per_unit, 0, 0, 0)
         kinds = ("double", "int", "int", "long")
 
-        def place(*parts: Column) -> Column:
+        def order(*parts: Column) -> Column:
             return F.struct(*[p.cast(k).alias(f"k{i}") for i, (p, k) in enumerate(zip(parts, kinds))])
 
-        cut = place(*map(F.lit, end))
-        count = F.lit(0)
-        for e in range(cap):
-            finish = F.try_divide((F.col("source_size") * e + F.col("upto")).cast("double"), F.col("target"))
-            count = count + F.when(place(finish, F.col("rank"), F.lit(e), F.col("upto")) <= cut, 1).otherwise(0)
-        count = F.when(F.col("size") > 0, count).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", count.cast("int").alias("copies"), (count * F.col("size")).cast("long").alias("taken"), F.try_divide(F.col("upto").cast("double"), F.col("target")).alias("finish"))
+        takes = [F.coalesce(order(finish(e), F.col("rank"), F.lit(e), F.col("upto")) <= order(*map(F.lit, end)), F.lit(False)) for e in range(cap)]
+    takes = [(F.col("size") > 0) & t for t in takes]
+    return placed.withColumns({f"take{e}": t for e, t in enumerate(takes)}), reduce(Column.__add__, [F.col(f"take{e}").cast("int") for e in range(cap)]), finish(0)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` and the first copy's finish time."""
+    rows, unique = keyed(docs.select("doc_id", "source", "text"), "mix-docs")
+    placed, count, finish = _taken(rows, unique, weights, share, cap, seed, bucket_rows)
+    return placed.select("doc_id", "source", "size", "source_size", "target", count.alias("copies"), (count * F.col("size")).cast("long").alias("taken"), finish.alias("finish"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The documents of the mix themselves, a document taken twice being there twice."""
-    key = ["doc_id", "source", "size"]
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))
-    plan = mix(docs, **how).withColumn("number", number).where("copies > 0").select("doc_id", "number", "copies")
-    own = docs.withColumn("size", word_count(F.col("text"))).withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy(*key[1:])))
-    return own.alias("d").join(plan.alias("p"), F.expr("d.doc_id <=> p.doc_id and d.number = p.number")).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("__copy")).drop("__copy")
+    rows, unique = keyed(docs, "mix-docs")
+    placed, _, _ = _taken(rows.select("__key", "doc_id", "source", "text"), unique, weights, share, cap, seed, bucket_rows)
+    ends = placed.groupBy("source").agg(*[F.max(F.when(F.col(f"take{e}"), F.struct("key", "__key"))).alias(f"__end{e}") for e in range(cap)])
+    ends = materialize(ends.withColumnRenamed("source", "__source"), "mix-ends")
+    here = F.struct(F.col("__place").alias("key"), F.col("__key"))
+    count = reduce(Column.__add__, [F.coalesce((here <= F.col(f"__end{e}")).cast("int"), F.lit(0)) for e in range(cap)])
+    told = rows.withColumn("__place", _place(seed, unique)).join(few(ends), F.col("source").eqNullSafe(F.col("__source")), "left")
+    told = told.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("__copies", count).where("__copies > 0")
+    return told.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 ORACLE_SQL = r"""
