@@ -361,6 +361,46 @@ def features(page: np.ndarray) -> str:
     return f"{page.shape[1]}x{page.shape[0]};mean={mean:.4f};std={spread:.4f};hist={steps}"
 
 
+def _payload(text: pa.StringScalar) -> bytes:
+    """A text's bytes and zeros up to a positive multiple of 64."""
+    raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+    return raw + b"\0" * (64 if not raw else -len(raw) % 64)
+
+
+def text_files(docs: DataFrame) -> DataFrame:
+    """``media_id, media``: every text as a file of two pages, its bytes and the same as pairs of bytes.
+
+    Compression, strips or tiles, byte order and predictor go by the id, so all kinds of files occur.
+    """
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, media = batch.column(0).to_pylist(), []
+            for owner, text in zip(owners, string_column(batch, "text")):
+                data, k = np.frombuffer(_payload(text), np.uint8), owner or 0
+                pages = [data.reshape(-1, 64), data.view("<u2").reshape(-1, 32)]
+                code = (NONE, LZW, DEFLATE, PACKBITS)[k % 4]
+                media.append(write_pages(pages, code, 1 + k // 16 % 2, 64, (16, 16) if k // 4 % 2 else None, "<>"[k // 8 % 2]))
+            yield pa.record_batch([pa.array(owners, pa.int64()), pa.array(media, pa.binary())], names=["media_id", "media"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("media_id"), "text").mapInArrow(run, "media_id long, media binary")
+
+
+def text_pages(docs: DataFrame) -> DataFrame:
+    """The pages that ``text_files`` hold, read back: ``media_id, page, width, height, samples, bits, pixels_sha256, error``."""
+    return decode_tiff(text_files(docs)).select("media_id", "page", "width", "height", "samples", "bits", F.sha2("pixels", 256).alias("pixels_sha256"), "error")
+
+
+PAGES_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as raw from documents),
+p as (select doc_id, raw || encode(repeat(chr(0), case when octet_length(raw) = 0 then 64 else (64 - octet_length(raw) % 64) % 64 end)) as b from d)
+select doc_id as media_id, page, (64 // (page + 1))::int as width, (octet_length(b) // 64)::int as height, 1 as samples, 8 * (page + 1) as bits,
+       sha256(b) as pixels_sha256, cast(null as varchar) as error
+from p, (values (0), (1)) t(page)
+"""
+
+
 def text_media(docs: DataFrame, compression: int = DEFLATE, predictor: int = 2, rows: int = 256) -> DataFrame:
     """Store every text as a TIFF of 64 columns, read the file back and describe what it holds."""
 
@@ -372,8 +412,7 @@ def text_media(docs: DataFrame, compression: int = DEFLATE, predictor: int = 2,
             texts = string_column(batch, "text")
             out: list[tuple] = []
             for owner, text in zip(batch.column(0).to_pylist(), texts):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                payload = raw + b"\0" * (64 if not raw else -len(raw) % 64)
+                raw, payload = text.as_buffer().to_pybytes() if text.is_valid else b"", _payload(text)
                 media = write_pages([np.frombuffer(payload, np.uint8).reshape(-1, 64)], compression, predictor, rows)
                 page = read_pages(media)[0]
                 back = page.tobytes()
