@@ -97,3 +97,13 @@ def test_betweenness_goes_by_blocks(g, monkeypatch, directed):
     n = len(VERTICES)
     got = {r.id: r.betweenness for r in paths.betweenness(g if directed else g.undirected()).collect()}
     assert got == {v: pytest.approx(want[v] / (n - 1) / (n - 2)) for v in VERTICES}
+
+
+def test_weighted_betweenness_goes_by_blocks(g, monkeypatch):
+    want = collections.Counter()
+    for v in VERTICES:
+        want.update(kernels.dependencies(v, near(), True))
+    monkeypatch.setattr(kernels, "dependencies", None)  # root by root
+    n = len(VERTICES)
+    got = {r.id: r.betweenness for r in paths.betweenness(g, weighted=True).collect()}
+    assert got == {v: pytest.approx(want[v] / (n - 1) / (n - 2)) for v in VERTICES}
